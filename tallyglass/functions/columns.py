@@ -35,17 +35,29 @@ def plain_words(column: Column) -> Column:
     return F.replace(column, F.lit("_"), F.lit(" "))
 
 
+def two_decimals(value: Column) -> Column:
+    """Text with two decimals, rounded on the exact binary value with ties to even.
+
+    `format_string` rounds the shortest decimal spelling half up, so 3.125 and 2.675 come out
+    differently from what most languages print. Scaled by a power of two the fraction is a whole
+    number, and its hundredths are the upper bits of a hundred times it.
+    """
+    size = F.abs(value)
+    scaled = ((size - F.floor(size)) * float(2**52)).cast("long") * 100
+    rest, half = scaled.bitwiseAND(F.lit(2**52 - 1)), F.lit(2**51)
+    down = F.shiftright(scaled, 52)
+    up = (rest > half) | ((rest == half) & (down % 2 == 1))
+    cents = F.floor(size) * 100 + down + up.cast("long")
+    return F.format_string("%s%d.%02d", F.when(value < 0, "-").otherwise(""), (cents / 100).cast("long"), cents % 100)
+
+
 def humanize(column: Column) -> Column:
     """1.23K / 4.56M / 7.89B, two decimals below a thousand, N/A for missing."""
     value = column.cast("double")
     size = F.abs(value)
-    return (
-        F.when(value.isNull() | F.isnan(value), F.lit("N/A"))
-        .when(size >= 1e9, F.format_string("%.2fB", value / 1e9))
-        .when(size >= 1e6, F.format_string("%.2fM", value / 1e6))
-        .when(size >= 1e3, F.format_string("%.2fK", value / 1e3))
-        .otherwise(F.format_string("%,.2f", value))
-    )
+    unit = F.when(size >= 1e9, 1e9).when(size >= 1e6, 1e6).when(size >= 1e3, 1e3).otherwise(1.0)
+    mark = F.when(size >= 1e9, "B").when(size >= 1e6, "M").when(size >= 1e3, "K").otherwise("")
+    return F.when(value.isNull() | F.isnan(value), F.lit("N/A")).otherwise(F.concat(two_decimals(value / unit), mark))
 
 
 def is_number_text(column: Column) -> Column:

@@ -13,7 +13,7 @@ from tallyglass.functions.columns import plain_words
 from tallyglass.operators import narratives as N
 from tallyglass.operators.profile import side_by_side
 from tallyglass.operators.roles import Roles, resolve_schema
-from tallyglass.operators.series import momentum_insight, seasonality_insight, trend_drivers, trend_insight
+from tallyglass.operators.series import momentum_insight, seasonality_insight, trend_cuts, trend_drivers, trend_insight
 from tallyglass.operators.stats import (
     anomaly_insight,
     correlation_insight,
@@ -21,6 +21,7 @@ from tallyglass.operators.stats import (
     performance_gap_insight,
     ttest_insight,
 )
+from tallyglass.plans.selection import rank_cuts
 from tallyglass.plans.staging import stage
 
 FIELDS = ("type", "title", "description", "narrative", "priority", "metric", "value")
@@ -66,8 +67,10 @@ def all_insights(
 
     if date and numbers:
         four = numbers[:4]
-        trends = trend_insight(data, four, order_by, min_abs=t["trend"])
-        drivers = trend_drivers(data, four, cats[:2], order_by, min_abs=drivers_min_abs) if cats else None
+        # One search finds all positions that the trends and their drivers compare at.
+        _, (first, body, half) = rank_cuts(data, order_by, lambda n: (*trend_cuts(0.2, n), n // 2))
+        trends = trend_insight(data, four, order_by, min_abs=t["trend"], cuts=(first, body))
+        drivers = trend_drivers(data, four, cats[:2], order_by, drivers_min_abs, head=half) if cats else None
         # Trend and momentum of a metric stand next to each other.
         add(N.narrate_trend(trends, drivers), 1, 2)
         add(N.narrate_other(momentum_insight(data, four, order_by, min_abs=t["momentum"])), 1, 2, 1)

@@ -63,14 +63,23 @@ def _default_metrics(df: DataFrame, metrics: Sequence[str] | None, n: int) -> li
     return list(metrics) if metrics is not None else numeric_columns(df)[:n]
 
 
+def trend_cuts(share: float, n: int) -> tuple[int, int]:
+    """Row positions where the earliest share ends and the latest share starts."""
+    return int(n * share), n - int(n * share)
+
+
 def trend_measures(
-    df: DataFrame, metrics: Sequence[str], order_by: Sequence[str], share: float = 0.2
+    df: DataFrame,
+    metrics: Sequence[str],
+    order_by: Sequence[str],
+    share: float = 0.2,
+    cuts: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """Per metric the means of the first and the last `share` of the rows, and the change in percent.
 
     The two ends are plain filters on the order columns, so this is one aggregate without a shuffle.
     """
-    _, (head, body) = rank_cuts(df, order_by, lambda n: (int(n * share), n - int(n * share)))
+    head, body = cuts or rank_cuts(df, order_by, lambda n: trend_cuts(share, n))[1]
     cells = {
         m: {
             "earlier": F.avg(F.when(head, clean(df, m))),
@@ -96,10 +105,11 @@ def trend_insight(
     min_abs: float = 8.0,
     high_abs: float = 20.0,
     max_metrics: int = 4,
+    cuts: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """Metrics whose mean moved between the earliest and the latest rows."""
     names = _default_metrics(df, metrics, max_metrics)
-    found = trend_measures(df, names, order_by, share).filter(F.abs("value") > min_abs)
+    found = trend_measures(df, names, order_by, share, cuts).filter(F.abs("value") > min_abs)
     size = F.format_string("%.1f", F.abs("value"))
     return found.select(
         "seq",
@@ -225,10 +235,15 @@ def overview_kpis(
 
 
 def half_changes(
-    df: DataFrame, metrics: Sequence[str], categories: Sequence[str], order_by: Sequence[str]
+    df: DataFrame,
+    metrics: Sequence[str],
+    categories: Sequence[str],
+    order_by: Sequence[str],
+    head: Column | None = None,
 ) -> DataFrame:
     """Per metric, category column and member: change of the mean from the earlier to the later half."""
-    _, (head,) = rank_cuts(df, order_by, lambda rows: (rows // 2,))
+    if head is None:
+        _, (head,) = rank_cuts(df, order_by, lambda rows: (rows // 2,))
     parts = []
     for i, category in enumerate(categories):
         folds = []
@@ -296,9 +311,10 @@ def trend_drivers(
     order_by: Sequence[str],
     min_abs: float = 15.0,
     max_categories: int = 2,
+    head: Column | None = None,
 ) -> DataFrame:
     """The drivers of several metrics at once, as text for a rise and for a fall of each metric."""
-    changes = half_changes(df, metrics, list(categories)[:max_categories], order_by)
+    changes = half_changes(df, metrics, list(categories)[:max_categories], order_by, head)
 
     def listed(side: str) -> Column:
         change = F.col(f"{side}.change_pct")

@@ -402,12 +402,8 @@ def rank_cuts(
         if not state:
             break
         ties = {k: s for k, s in state.items() if s[2] <= TIE_ROWS}
-        for k, (prefix, rank, _) in ties.items():
-            rows = df.filter(sharing(prefix)).select(*[key.number.alias(f"k{i}") for i, key in enumerate(keys)])
-            last = [tuple(r) for r in rows.orderBy(*rows.columns).limit(rank + 1).collect()[-2:]]
-            if rank and last[0] == last[-1]:
-                raise unclear(k)
-            edges[k] = last[-1]
+        if ties:
+            edges.update(_rank_ties(df, keys, {k: (sharing(prefix), rank) for k, (prefix, rank, _) in ties.items()}, unclear))
         state = {k: s for k, s in state.items() if k not in ties}
         if not state:
             break
@@ -444,6 +440,25 @@ def rank_cuts(
     return n, [first(k) for k in wanted]
 
 
+def _rank_ties(
+    df: DataFrame, keys: Sequence[_Key], ties: dict[int, tuple[Column, int]], unclear: Callable[[int], ValueError]
+) -> dict[int, tuple[float, ...]]:
+    """Full keys of the rows at the cuts, from the few rows that share the leading keys of each."""
+    names = [f"k{i}" for i in range(len(keys))]
+    tags = F.array(*[F.when(test, F.lit(k)) for k, (test, _) in ties.items()])
+    rows = df.select(F.explode(F.array_compact(tags)).alias("cut"), *[key.number.alias(a) for key, a in zip(keys, names)])
+    # At most TIE_ROWS rows per cut.
+    placed = rows.withColumn("at", F.row_number().over(Window.partitionBy("cut").orderBy(*names)) - 1)
+    wanted = F.lit(False)
+    for k, (_, rank) in ties.items():
+        wanted = wanted | ((F.col("cut") == k) & F.col("at").isin(rank - 1, rank))
+    hits = {(r["cut"], r["at"]): tuple(r[a] for a in names) for r in placed.filter(wanted).collect()}
+    for k, (_, rank) in ties.items():
+        if rank and hits[k, rank - 1] == hits[k, rank]:
+            raise unclear(k)
+    return {k: hits[k, rank] for k, (_, rank) in ties.items()}
+
+
 def _rank_few(rows: DataFrame, targets: dict[str, Target]) -> None:
     """Ranks on a column with few distinct values: their counts are added up in order."""
     upto = F.sum("count").over(Window.orderBy("x"))
