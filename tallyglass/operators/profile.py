@@ -54,7 +54,7 @@ def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:
             F.when(c.isNotNull(), F.struct(F.lit(i).alias("seq"), whole.alias("w"), real.alias("r"), text.alias("t")))
         )
     names = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(c).alias("name")) for i, c in enumerate(df.columns)])
-    values = df.select(F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull()))).distinct()
+    values = df.select(F.inline(F.array(*cells))).filter(F.col("seq").isNotNull()).distinct()
     counts = values.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
     listed = df.sparkSession.range(1).select(F.inline(names))
     return listed.join(counts, "seq", "left").select("seq", "name", F.coalesce("n", F.lit(0)).alias("unique_count"))

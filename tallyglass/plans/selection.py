@@ -30,13 +30,13 @@ SMALL_CELLS = 200_000
 # A group with more values than this (or than a 100,000th of the table) is narrowed, not buffered.
 SMALL_GROUP = 1_000_000
 # Rows left inside a bracket before they are ranked directly.
-FINAL_ROWS = 200_000
+FINAL_ROWS = 100_000
 # Distinct leading order keys that are ranked directly.
 FEW_KEYS = 100_000
 # Rows tied on the leading order key before they are sorted by the remaining keys.
 TIE_ROWS = 10_000
-GRID = 1000
-ACCURACY = 10_000
+GRID = 200
+ACCURACY = 2000
 # Aggregates per pass that still compile into one stage.
 FIELDS_PER_PASS = 96
 # Doubles hold integers exactly up to here; larger order keys are split in two.
@@ -61,6 +61,11 @@ class Target:
         self.found: dict[int, tuple[float, int, int]] = {}
         self.outer = (None, None)
 
+    @property
+    def want(self) -> list[int]:
+        """Open ranks counted from the start of the bracket."""
+        return [r - self.below for r in self.open]
+
     @property
     def open(self) -> list[int]:
         return [r for r in self.ranks if r not in self.found]
@@ -137,8 +142,9 @@ class _Columns:
         for t, g in targets.items():
             test = self._inside(t, g)
             kept = kept | test
-            cells.append(F.when(test, F.struct(F.lit(t).alias("tid"), self.values[t].alias("x"))))
-        return self.df.filter(kept).select(F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
+            want = F.array(*[F.lit(w).cast("long") for w in g.want])
+            cells.append(F.when(test, F.struct(F.lit(t).alias("tid"), self.values[t].alias("x"), want.alias("want"))))
+        return self.df.filter(kept).select(F.inline(F.array(*cells))).filter(F.col("tid").isNotNull())
 
 
 class _Groups:
@@ -149,11 +155,11 @@ class _Groups:
 
     def _rows(self, targets: dict[Hashable, Target]) -> DataFrame:
         table = self.data.sparkSession.createDataFrame(
-            [(t, g.lo, g.hi) for t, g in targets.items()], "tid int, lo double, hi double"
+            [(t, g.lo, g.hi, g.want) for t, g in targets.items()], "tid int, lo double, hi double, want array<long>"
         )
         return (
             self.data.join(F.broadcast(self.groups.join(table, "tid")), self.keys)
-            .select("tid", F.col("__x").alias("x"), "lo", "hi")
+            .select("tid", F.col("__x").alias("x"), "lo", "hi", "want")
             .filter(F.col("x").isNotNull())
         )
 
@@ -175,7 +181,7 @@ class _Groups:
         }
 
     def rows_inside(self, targets):
-        return self._rows(targets).filter(self._inside()).select("tid", "x")
+        return self._rows(targets).filter(self._inside()).select("tid", "x", "want")
 
 
 def select_ranks(source: _Columns | _Groups, targets: dict[Hashable, Target]) -> None:
@@ -195,24 +201,20 @@ def select_ranks(source: _Columns | _Groups, targets: dict[Hashable, Target]) ->
     last = {t: g for t, g in busy.items() if g.open}
     if not last:
         return
-    order = Window.partitionBy("tid").orderBy("x")
-    ranked = (
-        source.rows_inside(last)
-        .groupBy("tid", "x")
-        .count()
-        .withColumn("upto", F.sum("count").over(order))
-        .withColumn("before", F.col("upto") - F.col("count"))
-    )
-    spark = ranked.sparkSession
-    kind = "int" if isinstance(next(iter(last)), int) else "string"
-    wanted = spark.createDataFrame(
-        [(t, r, r - g.below) for t, g in last.items() for r in g.open], f"tid {kind}, rank long, want long"
+    # The bracket of a target holds at most FINAL_ROWS rows by now.
+    rows = source.rows_inside(last).groupBy("tid").agg(
+        F.sort_array(F.collect_list("x")).alias("xs"), F.first("want").alias("want")
     )
-    # Two ranks per target at most, next to at most FINAL_ROWS values each.
-    hits = ranked.join(F.broadcast(wanted), "tid").filter((F.col("before") <= F.col("want")) & (F.col("upto") > F.col("want")))
-    for row in hits.collect():
+    hits = rows.select("tid", "xs", F.explode("want").alias("want")).withColumn("x", F.get("xs", F.col("want")))
+    for row in hits.select(
+        "tid",
+        "want",
+        "x",
+        (F.array_position("xs", F.col("x")) - 1).alias("before"),
+        F.size(F.filter("xs", lambda v: v == F.col("x"))).alias("same"),
+    ).collect():
         g = last[row["tid"]]
-        g.found[row["rank"]] = (row["x"], g.below + row["before"], row["count"])
+        g.found[row["want"] + g.below] = (row["x"], g.below + row["before"], row["same"])
 
 
 def _ranks(n: int, prob: float) -> tuple[int, int, float]:
