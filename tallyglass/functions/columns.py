@@ -21,6 +21,23 @@ def clean(df: DataFrame, name: str) -> Column:
     return column
 
 
+def is_above(df: DataFrame, name: str, value: float) -> Column:
+    """`column > value` without NaN, written on the stored column so that the scan can use it."""
+    column = F.col(f"`{name}`")
+    above = column > value
+    return above & ~F.isnan(column) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else above
+
+
+def is_below(df: DataFrame, name: str, value: float) -> Column:
+    return F.col(f"`{name}`") < value
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over rows with both values, NULL where a side is constant (the built-in raises)."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
 def label_of(name: str) -> str:
     """Display form of a column name: profit_margin -> Profit Margin."""
     return name.replace("_", " ").title()

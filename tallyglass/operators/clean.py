@@ -223,7 +223,8 @@ def remove_outliers(
         value = clean(df, c)
         if method == "iqr":
             bounds = outlier_bounds(df, c, threshold)
-            keep = F.lit(False) if bounds is None else value.between(*bounds)
+            # NaN sorts above every bound, so the stored column serves and the scan can use the filter.
+            keep = F.lit(False) if bounds is None else F.col(f"`{c}`").between(*bounds)
         elif method == "zscore":
             mean, spread = df.agg(F.avg(value), F.stddev_pop(value)).first()
             # A constant column has no z-scores, so nothing lies within the threshold.

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyglass.functions.columns import clean, sample_kurtosis, sample_skewness
+from tallyglass.functions.columns import clean, is_above, is_below, sample_kurtosis, sample_skewness
 from tallyglass.operators.clean import number_text_columns
 from tallyglass.operators.roles import categorical_columns, detect_date_column, is_date_type, numeric_columns
 from tallyglass.plans.ordered import never_decreases
@@ -147,8 +147,7 @@ def outlier_tests(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> dict
     for c, (q1, q3) in exact_quantiles(df, {c: [0.25, 0.75] for c in columns}).items():
         if q1 is not None:
             lower, upper = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
-            value = clean(df, c)
-            tests[c] = ((value < lower) | (value > upper), lower, upper)
+            tests[c] = (is_below(df, c, lower) | is_above(df, c, upper), lower, upper)
     return tests
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.functions.columns import clean
+from tallyglass.functions.columns import clean, is_above, is_below
 from tallyglass.plans.selection import exact_quantiles, grouped_quantile
 
 AGGREGATES = ("sum", "average", "max", "min", "count", "median")
@@ -30,8 +30,7 @@ def filter_cmp(df: DataFrame, column: str, op: str, value: float) -> DataFrame:
     """Rows above (`greater`) or below (`less`) a number."""
     if op not in ("greater", "less"):
         raise ValueError(f"unknown comparison {op}")
-    c = clean(df, column)
-    return df.filter(c > value if op == "greater" else c < value)
+    return df.filter(is_above(df, column, value) if op == "greater" else is_below(df, column, value))
 
 
 def _aggregate_column(df: DataFrame, metric: str, agg: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyglass.functions.columns import clean, label_of
+from tallyglass.functions.columns import clean, label_of, pearson
 from tallyglass.operators.profile import per_column
 from tallyglass.operators.roles import numeric_columns
 from tallyglass.plans.ordered import over_ordered
@@ -329,7 +329,7 @@ def trend_drivers(
 def autocorrelation(points: DataFrame, lag: int = 7) -> DataFrame:
     """Correlation of y with itself `lag` points earlier, and the number of points."""
     pairs = over_ordered(points, ["ds"], lag, lambda w: {"__before": F.lag("y", lag).over(w)})
-    return pairs.agg(F.corr("__before", "y").alias("value"), F.count(F.lit(1)).alias("n_points"))
+    return pairs.agg(pearson(F.col("__before"), F.col("y")).alias("value"), F.count(F.lit(1)).alias("n_points"))
 
 
 def seasonality_insight(
@@ -352,12 +352,11 @@ def seasonality_insight(
         totals, ["ds"], lag, lambda w: {f"b{i}": F.lag(f"y{i}", lag).over(w) for i in range(len(names))}
     )
     cells = {
-        m: {"value": F.corr(f"b{i}", f"y{i}"), "n_points": F.count(F.lit(1))} for i, m in enumerate(names)
+        m: {"value": pearson(F.col(f"b{i}"), F.col(f"y{i}")), "n_points": F.count(F.lit(1))} for i, m in enumerate(names)
     }
     found = (
         per_column(pairs, cells)
         .withColumnRenamed("name", "metric")
-        .withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
         .filter((F.col("n_points") >= min_points) & (F.abs("value") > min_abs))
     )
     return found.select(

@@ -10,7 +10,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.functions.columns import clean, sample_kurtosis, sample_skewness, t_two_sided_p
+from tallyglass.functions.columns import clean, pearson, sample_kurtosis, sample_skewness, t_two_sided_p
 from tallyglass.operators.profile import outlier_tests, per_column
 from tallyglass.operators.roles import categorical_columns, numeric_columns
 from tallyglass.operators.series import _default_metrics, _labels
@@ -29,7 +29,7 @@ def strength(r: Column) -> Column:
 
 
 def _corr(df: DataFrame, a: str, b: str) -> Column:
-    return F.nanvl(F.corr(clean(df, a), clean(df, b)), F.lit(None).cast("double"))
+    return pearson(clean(df, a).cast("double"), clean(df, b).cast("double"))
 
 
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -71,7 +71,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, full
         row = df.agg(*[_corr(df, names[i], names[j]).alias(f"s{i}_{j}") for i, j in batch]).first()
         sums.update({p: row[f"s{p[0]}_{p[1]}"] for p in batch})
 
-    def pearson(i: int, j: int) -> float | None:
+    def of_pair(i: int, j: int) -> float | None:
         if (i, j) in gappy:
             return sums[i, j]
         spread = math.sqrt(sums[i, i] * sums[j, j])
@@ -79,7 +79,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, full
 
     # One row per pair of columns, whatever the size of the table.
     half = spark.createDataFrame(
-        [(i, j, names[i], names[j], pearson(i, j)) for i, j in pairs],
+        [(i, j, names[i], names[j], of_pair(i, j)) for i, j in pairs],
         "i int, j int, col1 string, col2 string, r double",
     )
     if not full:
