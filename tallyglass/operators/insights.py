@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,33 +62,39 @@ def all_insights(
     if staged:
         data = stage(data, "insights")
 
-    parts: list[DataFrame] = []
+    four, two = numbers[:4], numbers[:2]
 
-    def add(rows: DataFrame, group: int, step: int = 1, shift: int = 0) -> None:
-        parts.append(rows.select((F.lit(group * 1_000_000 + shift) + F.col("seq") * step).alias("seq"), *FIELDS))
-
-    if date and numbers:
-        four = numbers[:4]
+    def trends() -> list[DataFrame]:
         # One search finds all positions that the trends and their drivers compare at.
         _, (first, body, half) = rank_cuts(data, order_by, lambda n: (*trend_cuts(0.2, n), n // 2))
-        trends = trend_insight(data, four, order_by, min_abs=t["trend"], cuts=(first, body))
+        rows = trend_insight(data, four, order_by, min_abs=t["trend"], cuts=(first, body))
         drivers = trend_drivers(data, four, cats[:2], order_by, drivers_min_abs, head=half) if cats else None
+        momentum = momentum_insight(data, four, order_by, min_abs=t["momentum"])
         # Trend and momentum of a metric stand next to each other.
-        add(N.narrate_trend(trends, drivers), 1, 2)
-        add(N.narrate_other(momentum_insight(data, four, order_by, min_abs=t["momentum"])), 1, 2, 1)
+        return [placed(N.narrate_trend(rows, drivers), 1, 2), placed(N.narrate_other(momentum), 1, 2, 1)]
+
+    def placed(rows: DataFrame, group: int, step: int = 1, shift: int = 0) -> DataFrame:
+        return rows.select((F.lit(group * 1_000_000 + shift) + F.col("seq") * step).alias("seq"), *FIELDS)
+
+    analyses: list[Callable[[], list[DataFrame]]] = []
+    if date and numbers:
+        analyses.append(trends)
     if len(numbers) >= 2:
-        add(N.narrate_correlation(correlation_insight(data, numbers, t["correlation"])), 2)
+        analyses.append(lambda: [placed(N.narrate_correlation(correlation_insight(data, numbers, t["correlation"])), 2)])
     if numbers:
-        add(N.narrate_anomaly(anomaly_insight(data, numbers[:4], min_pct=t["anomaly"])), 3)
-        if cats:
-            add(N.narrate_gap(performance_gap_insight(data, cats[:2], numbers[:2], min_pct=t["gap"])), 4)
-        add(N.narrate_other(distribution_insight(data, numbers[:3], min_abs=t["distribution"])), 5)
+        analyses.append(lambda: [placed(N.narrate_anomaly(anomaly_insight(data, four, min_pct=t["anomaly"])), 3)])
+        analyses.append(lambda: [placed(N.narrate_other(distribution_insight(data, numbers[:3], min_abs=t["distribution"])), 5)])
         if cats:
-            add(N.narrate_other(ttest_insight(data, cats[0], numbers[:2], alpha=t["ttest"])), 6)
+            analyses.append(lambda: [placed(N.narrate_gap(performance_gap_insight(data, cats[:2], two, min_pct=t["gap"])), 4)])
+            analyses.append(lambda: [placed(N.narrate_other(ttest_insight(data, cats[0], two, alpha=t["ttest"])), 6)])
         if date:
-            add(N.narrate_other(seasonality_insight(data, date, numbers[:2], min_abs=t["seasonality"])), 7)
-    if not parts:
+            analyses.append(lambda: [placed(N.narrate_other(seasonality_insight(data, date, two, min_abs=t["seasonality"])), 7)])
+    if not analyses:
         raise ValueError("the table has no numeric column")
+    # The analyses do not depend on each other, so their preparatory jobs may share the cluster.
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        waiting = [pool.submit(inheritable_thread_target(df.sparkSession)(a)) for a in analyses]
+        parts = [rows for w in waiting for rows in w.result()]
     # One row per metric, pair or category at most, so a single sorted window numbers them.
     everything = reduce(DataFrame.unionByName, parts)
     return everything.withColumn("seq", F.row_number().over(Window.orderBy("seq")))
