@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -91,6 +92,33 @@ def promote_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     return df.withColumns({c: _filled_text(F.col(f"`{c}`")).try_cast(kind) for c, kind in kinds.items()})
 
 
+def format_shape(fmt: str) -> str | None:
+    """A regular expression for texts that could follow a date format; None for letters it does not know.
+
+    A failed parse costs an exception per row, so texts of another shape are told apart first.
+    """
+    known = {"yyyy": "[0-9]{4}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]+", "d": "[0-9]{1,2}", "SSSSSS": "[0-9]{1,6}"}
+    known.update({two: "[0-9]{2}" for two in ("MM", "dd", "HH", "mm", "ss")})
+    out = []
+    for token in re.finditer(r"'([^']*)'|(([A-Za-z])\3*)|[^A-Za-z']", fmt):
+        quoted, run, mark = token.group(1), token.group(2), token.group(0)
+        if quoted is not None:
+            out.append(re.escape(quoted))
+        elif run:
+            if run not in known:
+                return None
+            out.append(known[run])
+        else:
+            out.append({"[": "(", "]": ")?"}.get(mark, re.escape(mark)))
+    return "^" + "".join(out) + "$"
+
+
+def _parsed(text, fmt: str):
+    """The text as a timestamp under one format, NULL where it does not fit."""
+    moment, shape = F.try_to_timestamp(text, F.lit(fmt)), format_shape(fmt)
+    return moment if shape is None else F.when(text.rlike(shape), moment)
+
+
 def date_text_columns(
     df: DataFrame, formats: Sequence[str] = DATE_FORMATS, columns: Sequence[str] | None = None
 ) -> dict[str, str]:
@@ -102,7 +130,7 @@ def date_text_columns(
     for i, c in enumerate(names):
         text = _filled_text(F.col(f"`{c}`"))
         checks.append(F.count(text).alias(f"n{i}"))
-        checks += [F.count(F.try_to_timestamp(text, F.lit(f))).alias(f"f{i}_{j}") for j, f in enumerate(formats)]
+        checks += [F.count(_parsed(text, f)).alias(f"f{i}_{j}") for j, f in enumerate(formats)]
     row = df.agg(*checks).first()
     found = {}
     for i, c in enumerate(names):
@@ -119,7 +147,7 @@ def promote_timestamp(
     found = date_text_columns(df, formats, columns)
     return df.withColumns(
         {
-            c: F.try_to_timestamp(_filled_text(F.col(f"`{c}`")), F.lit(f)).cast("timestamp_ntz")
+            c: _parsed(_filled_text(F.col(f"`{c}`")), f).cast("timestamp_ntz")
             for c, f in found.items()
         }
     )

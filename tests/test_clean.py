@@ -116,3 +116,19 @@ def test_roles(spark):
     assert (found.numeric, found.categorical, found.date) == (("revenue",), ("name",), "day")
     empty = R.resolve_schema(df, Catalog())
     assert (empty.numeric, empty.categorical) == (("revenue", "n"), ("name", "day"))
+
+
+@pytest.mark.parametrize(
+    "fmt, fits, misfits",
+    [
+        ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", ["2024-01-02 03:04:05", "2024-01-02 03:04:05.6"], ["2024-01-02", "x"]),
+        ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", ["2024-01-02T03:04:05"], ["2024-01-02 03:04:05"]),
+        ("MMM d, yyyy", ["Jan 2, 2024", "Jan 12, 2024"], ["1 2, 2024"]),
+    ],
+)
+def test_format_shapes(fmt, fits, misfits):
+    import re
+
+    shape = re.compile(C.format_shape(fmt))
+    assert all(shape.match(t) for t in fits) and not any(shape.match(t) for t in misfits)
+    assert C.format_shape("yyyy-MM-dd z") is None
