@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyglass.llm import packing
+from tallyglass.llm import packing, simhash
 from tallyglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,12 @@ def query(run):
     return run
 
 
+@query
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and the component of each under three differing bits."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Documents packed best fit into sequences of at most 2048 tokens."""
