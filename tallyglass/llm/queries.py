@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyglass.llm import packing, simhash
+from tallyglass.llm import packing, quality, simhash
 from tallyglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,13 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality score of every document, learned from the labels of four folds of five."""
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
 @query
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Documents packed best fit into sequences of at most 2048 tokens."""
