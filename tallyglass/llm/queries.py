@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyglass.llm import linedup, packing, quality, simhash
+from tallyglass.llm import decontaminate, linedup, packing, quality, simhash
 from tallyglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and benchmark item it holds within a fifth of the item's words in edits."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op6_linedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the multi-line chunks that occur before them in the corpus."""
