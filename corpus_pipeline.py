@@ -8,17 +8,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyglass.llm import packing
+from tallyglass.llm import decontaminate, linedup, packing, quality, simhash
 from tallyglass.llm.common import table
 from tallyglass.plans.staging import stage
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the classifier, learned from the folder's labels, doesn't reject."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents without the multi-line chunks that occur before them."""
+    return linedup.remove_repeated(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each component of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, folder, "benchmark"))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pack what is left into sequences of 2048 tokens."""
     return packing.pack(docs)
 
 
 STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
     ("best_fit_packing", best_fit_packing),
 ]
 
