@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyglass.llm import decontaminate, linedup, packing, quality, simhash
+from tallyglass.llm import decontaminate, linedup, packing, quality, simhash, warc
 from tallyglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,19 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Documents packed best fit into sequences of at most 2048 tokens."""
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written as Zstandard WARC records and read back."""
+    return warc.round_trip(spark, table(spark, folder, "pages"))
+
+
+ORACLES["op10_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, h, octet_length(encode(h)) AS n, min(page_id) OVER (PARTITION BY h) AS least FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> least THEN least END AS refers_to
+FROM q
+"""
