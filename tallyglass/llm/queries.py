@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyglass.llm import decontaminate, linedup, packing, quality, simhash, warc
+from tallyglass.llm import decontaminate, langid, linedup, packing, pii, quality, simhash, warc
 from tallyglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,19 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op4_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from three folds of four."""
+    docs = table(spark, folder, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+@query
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 @query
 def op6_linedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the multi-line chunks that occur before them in the corpus."""
