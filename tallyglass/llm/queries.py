@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyglass.llm import decontaminate, langid, linedup, packing, pii, quality, simhash, warc
+from tallyglass.llm import decontaminate, langid, licenses, linedup, packing, pii, quality, simhash, warc
 from tallyglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,12 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, folder, "labels")))
 
 
+@query
+def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Every licence passage of every document."""
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
 @query
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Documents packed best fit into sequences of at most 2048 tokens."""
