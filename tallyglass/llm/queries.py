@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyglass.llm import decontaminate, langid, licenses, linedup, packing, pii, quality, simhash, warc
+from tallyglass.llm import decontaminate, langid, licenses, linedup, packing, pii, quality, simhash, warc, winnow
 from tallyglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,12 @@ def query(run):
     return run
 
 
+@query
+def op1_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited forms."""
+    return winnow.fingerprints(table(spark, folder, "documents"))
+
+
 @query
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents and the component of each under three differing bits."""
