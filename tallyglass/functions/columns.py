@@ -35,7 +35,8 @@ def is_below(df: DataFrame, name: str, value: float) -> Column:
 def pearson(a: Column, b: Column) -> Column:
     """Correlation over rows with both values, NULL where a side is constant (the built-in raises)."""
     x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+    varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varied, F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))))
 
 
 def label_of(name: str) -> str:
@@ -52,8 +53,8 @@ def plain_words(column: Column) -> Column:
     return F.replace(column, F.lit("_"), F.lit(" "))
 
 
-def two_decimals(value: Column) -> Column:
-    """Text with two decimals, rounded on the exact binary value with ties to even.
+def two_decimals(value: Column, mark: str = "") -> Column:
+    """Text with two decimals (and a thousands mark before them), rounded on the exact binary value with ties to even.
 
     `format_string` rounds the shortest decimal spelling half up, so 3.125 and 2.675 come out
     differently from what most languages print. Scaled by a power of two the fraction is a whole
@@ -65,16 +66,17 @@ def two_decimals(value: Column) -> Column:
     down = F.shiftright(scaled, 52)
     up = (rest > half) | ((rest == half) & (down % 2 == 1))
     cents = F.floor(size) * 100 + down + up.cast("long")
-    return F.format_string("%s%d.%02d", F.when(value < 0, "-").otherwise(""), (cents / 100).cast("long"), cents % 100)
+    return F.format_string(f"%s%{mark}d.%02d", F.when(value < 0, "-").otherwise(""), F.floor(cents / 100), cents % 100)
 
 
 def humanize(column: Column) -> Column:
-    """1.23K / 4.56M / 7.89B, two decimals below a thousand, N/A for missing."""
+    """1.23K / 4.56M / 7.89B, two decimals below a thousand (rounded up to it: 1,000.00), N/A for missing."""
     value = column.cast("double")
     size = F.abs(value)
     unit = F.when(size >= 1e9, 1e9).when(size >= 1e6, 1e6).when(size >= 1e3, 1e3).otherwise(1.0)
     mark = F.when(size >= 1e9, "B").when(size >= 1e6, "M").when(size >= 1e3, "K").otherwise("")
-    return F.when(value.isNull() | F.isnan(value), F.lit("N/A")).otherwise(F.concat(two_decimals(value / unit), mark))
+    shown = F.when(size < 1e3, two_decimals(value, ",")).otherwise(F.concat(two_decimals(value / unit), mark))
+    return F.when(value.isNull() | F.isnan(value), F.lit("N/A")).otherwise(shown)
 
 
 def is_number_text(column: Column) -> Column:

@@ -64,8 +64,8 @@ def _filled_text(column):
     return F.when(F.trim(column) != "", F.trim(column))
 
 
-def number_text_columns(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, str]:
-    """Text columns whose every value is a number -> "bigint" or "double"."""
+def number_text_columns(df: DataFrame, columns: Sequence[str] | None = None, empty: bool = False) -> dict[str, str]:
+    """Text columns whose every value is a number -> "bigint" or "double"; `empty` also takes those without a value."""
     names = _text_columns(df, columns)
     if not names:
         return {}
@@ -81,7 +81,7 @@ def number_text_columns(df: DataFrame, columns: Sequence[str] | None = None) ->
     row = df.agg(*checks).first()
     kinds = {}
     for i, c in enumerate(names):
-        if row[f"n{i}"] and row[f"d{i}"] == row[f"n{i}"]:
+        if (row[f"n{i}"] or empty) and row[f"d{i}"] == row[f"n{i}"]:
             kinds[c] = "bigint" if row[f"l{i}"] == row[f"n{i}"] else "double"
     return kinds
 
@@ -140,17 +140,17 @@ def date_text_columns(
     return found
 
 
+def parsed_text(df: DataFrame, name: str, fmt: str):
+    """A text column as timestamps under one format."""
+    return _parsed(_filled_text(F.col(f"`{name}`")), fmt).cast("timestamp_ntz")
+
+
 def promote_timestamp(
     df: DataFrame, formats: Sequence[str] = DATE_FORMATS, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Text columns become timestamps where one format fits every value."""
     found = date_text_columns(df, formats, columns)
-    return df.withColumns(
-        {
-            c: _parsed(_filled_text(F.col(f"`{c}`")), f).cast("timestamp_ntz")
-            for c, f in found.items()
-        }
-    )
+    return df.withColumns({c: parsed_text(df, c, f) for c, f in found.items()})
 
 
 def parse_named_dates(df: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:

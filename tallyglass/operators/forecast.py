@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -13,13 +14,16 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tallyglass.functions.columns import clean
+from tallyglass.operators.roles import with_dates
 
 
 def forecast_input(df: DataFrame, date_col: str, metric: str, by: Sequence[str] = (), grain: str = "day") -> DataFrame:
     """Total per day (or hour) and series: keys, ds, y. Rows without a date or a key are left out."""
-    at = F.to_date(F.col(date_col)) if grain == "day" else F.date_trunc(grain, F.col(date_col)).cast("timestamp_ntz")
-    keep = df.na.drop(subset=[date_col, *by])
-    return keep.groupBy(*by, at.alias("ds")).agg(F.coalesce(F.sum(clean(df, metric)), F.lit(0)).cast("double").alias("y"))
+    df = with_dates(df, date_col)
+    day = F.col(f"`{date_col}`")
+    at = F.to_date(day) if grain == "day" else F.date_trunc(grain, day).cast("timestamp_ntz")
+    keep = df.filter(reduce(lambda a, b: a & b, [clean(df, c).isNotNull() for c in (date_col, *by)]))
+    return keep.groupBy(*[f"`{c}`" for c in by], at.alias("ds")).agg(F.coalesce(F.sum(clean(df, metric)), F.lit(0)).cast("double").alias("y"))
 
 
 def forecast(

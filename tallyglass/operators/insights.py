@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from tallyglass.functions.columns import plain_words
 from tallyglass.operators import narratives as N
 from tallyglass.operators.profile import side_by_side
-from tallyglass.operators.roles import Roles, resolve_schema
+from tallyglass.operators.roles import Roles, resolve_schema, with_dates
 from tallyglass.operators.series import momentum_insight, seasonality_insight, trend_cuts, trend_drivers, trend_insight
 from tallyglass.operators.stats import (
     anomaly_insight,
@@ -48,31 +48,44 @@ def all_insights(
     thresholds: dict[str, float] | None = None,
     staged: bool = True,
     drivers_min_abs: float = 15.0,
+    metrics: dict[str, Sequence[str]] | None = None,
+    ttest: tuple[str, Sequence[str] | str] | None = None,
 ) -> DataFrame:
-    """Every insight of a table in reading order.
+    """Every insight of a table in reading order, over all numeric and categorical columns.
 
+    `metrics` narrows single analyses (trend, anomaly, distribution, gap, ttest, seasonality) to the columns
+    named, and `ttest` names a category and the two groups to compare instead of each member with the rest.
     The analysers look at the table some ten times, so its needed columns are written once first
     (`staged=False` skips that for a table that is already a plain scan).
     """
     found = roles or resolve_schema(df)
     t = {**THRESHOLDS, **(thresholds or {})}
     numbers, cats, date = list(found.numeric), list(found.categorical), found.date
-    needed = list(dict.fromkeys([*order_by, *numbers, *cats[:2], *([date] if date else [])]))
+    needed = list(dict.fromkeys([*order_by, *numbers, *cats, *([date] if date else [])]))
     data = df.select(*[f"`{c}`" for c in needed])
+    if date:
+        data = with_dates(data, date)
     if staged:
         data = stage(data, "insights")
 
-    four, two = numbers[:4], numbers[:2]
+    chosen = {k: numbers for k in ("trend", "anomaly", "distribution", "gap", "ttest", "seasonality")} | (metrics or {})
+    trended = list(chosen["trend"])
 
     def trends() -> list[DataFrame]:
         # One search finds all positions that the trends and their drivers compare at.
         _, (first, body, half) = rank_cuts(data, order_by, lambda n: (*trend_cuts(0.2, n), n // 2))
-        rows = trend_insight(data, four, order_by, min_abs=t["trend"], cuts=(first, body))
-        drivers = trend_drivers(data, four, cats[:2], order_by, drivers_min_abs, head=half) if cats else None
-        momentum = momentum_insight(data, four, order_by, min_abs=t["momentum"])
+        rows = trend_insight(data, trended, order_by, min_abs=t["trend"], cuts=(first, body))
+        drivers = trend_drivers(data, trended, cats, order_by, drivers_min_abs, head=half) if cats else None
+        momentum = momentum_insight(data, trended, order_by, min_abs=t["momentum"])
         # Trend and momentum of a metric stand next to each other.
         return [placed(N.narrate_trend(rows, drivers), 1, 2), placed(N.narrate_other(momentum), 1, 2, 1)]
 
+    def tests() -> DataFrame:
+        if ttest:
+            return ttest_insight(data, ttest[0], chosen["ttest"], ttest[1], alpha=t["ttest"])
+        tested = [ttest_insight(data, c, chosen["ttest"], alpha=t["ttest"]).withColumn("seq", F.col("seq") + i * len(numbers)) for i, c in enumerate(cats)]
+        return reduce(DataFrame.unionByName, tested)
+
     def placed(rows: DataFrame, group: int, step: int = 1, shift: int = 0) -> DataFrame:
         return rows.select((F.lit(group * 1_000_000 + shift) + F.col("seq") * step).alias("seq"), *FIELDS)
 
@@ -82,13 +95,13 @@ def all_insights(
     if len(numbers) >= 2:
         analyses.append(lambda: [placed(N.narrate_correlation(correlation_insight(data, numbers, t["correlation"])), 2)])
     if numbers:
-        analyses.append(lambda: [placed(N.narrate_anomaly(anomaly_insight(data, four, min_pct=t["anomaly"])), 3)])
-        analyses.append(lambda: [placed(N.narrate_other(distribution_insight(data, numbers[:3], min_abs=t["distribution"])), 5)])
+        analyses.append(lambda: [placed(N.narrate_anomaly(anomaly_insight(data, chosen["anomaly"], min_pct=t["anomaly"])), 3)])
+        analyses.append(lambda: [placed(N.narrate_other(distribution_insight(data, chosen["distribution"], min_abs=t["distribution"])), 5)])
         if cats:
-            analyses.append(lambda: [placed(N.narrate_gap(performance_gap_insight(data, cats[:2], two, min_pct=t["gap"])), 4)])
-            analyses.append(lambda: [placed(N.narrate_other(ttest_insight(data, cats[0], two, alpha=t["ttest"])), 6)])
+            analyses.append(lambda: [placed(N.narrate_gap(performance_gap_insight(data, cats, chosen["gap"], min_pct=t["gap"])), 4)])
+            analyses.append(lambda: [placed(N.narrate_other(tests()), 6)])
         if date:
-            analyses.append(lambda: [placed(N.narrate_other(seasonality_insight(data, date, two, min_abs=t["seasonality"])), 7)])
+            analyses.append(lambda: [placed(N.narrate_other(seasonality_insight(data, date, chosen["seasonality"], min_abs=t["seasonality"])), 7)])
     if not analyses:
         raise ValueError("the table has no numeric column")
     # The analyses do not depend on each other, so their preparatory jobs may share the cluster.
@@ -121,8 +134,8 @@ ADVICE = {
 }
 
 
-def recommendations(insights: DataFrame, df: DataFrame, roles: Roles, n: int = 5, min_rows: int = 1000) -> DataFrame:
-    """One row of advice per leading finding that calls for it, then advice on the table as a whole."""
+def recommendations(insights: DataFrame, df: DataFrame, roles: Roles, n: int | None = None, min_rows: int = 1000) -> DataFrame:
+    """One row of advice per high-priority finding (the first n where given) that calls for it, then advice on the table as a whole."""
     value, size = F.col("value"), F.format_string("%.1f%%", F.abs("value"))
     texts = {
         "trend": F.concat(F.lit("The "), size, F.lit(" decline in "), plain_words(F.col("metric")), F.lit(" needs attention: look for its cause.")),

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tallyglass.functions.columns import clean, is_above, is_below, sample_kurtosis, sample_skewness
 from tallyglass.operators.clean import number_text_columns
-from tallyglass.operators.roles import categorical_columns, detect_date_column, is_date_type, numeric_columns
+from tallyglass.operators.roles import categorical_columns, detect_date, is_date_type, numeric_columns, with_dates
 from tallyglass.plans.ordered import never_decreases
 from tallyglass.plans.selection import exact_quantiles
 
@@ -201,7 +201,7 @@ def quality_score(df: DataFrame) -> DataFrame:
     missing = reduce(lambda a, b: a + b, [clean(df, c).isNull().cast("long") for c in df.columns])
     counts = df.agg(F.count(F.lit(1)).alias("total_rows"), F.coalesce(F.sum(missing), F.lit(0)).alias("missing_cells"))
     distinct = df.distinct().agg(F.count(F.lit(1)).alias("distinct_rows"))
-    consistency = max(100.0 - 5.0 * len(number_text_columns(df)), 0.0)
+    consistency = max(100.0 - 5.0 * len(number_text_columns(df, empty=True)), 0.0)
     cells = F.col("total_rows") * width
     return (
         side_by_side([counts, distinct])
@@ -229,13 +229,15 @@ def quality_band(score: DataFrame) -> DataFrame:
 
 def quick_stats(df: DataFrame, date_col: str | None = None) -> DataFrame:
     """One row: table size, columns by kind and the date range."""
-    name = date_col or detect_date_column(df)
+    name, fmt = (date_col, None) if date_col else detect_date(df)
     date = F.col(f"`{name}`") if name else F.lit(None).cast("timestamp_ntz")
+    texts = categorical_columns(df)
+    df = with_dates(df, name, fmt) if name else df
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.lit(len(df.columns)).alias("n_columns"),
         F.lit(len(numeric_columns(df))).alias("n_numeric"),
-        F.lit(len(categorical_columns(df))).alias("n_categories"),
+        F.lit(len(texts)).alias("n_categories"),
         F.date_format(F.min(date), "yyyy-MM-dd").alias("min_date"),
         F.date_format(F.max(date), "yyyy-MM-dd").alias("max_date"),
     )
@@ -248,10 +250,11 @@ def table_context(df: DataFrame, max_categories: int = 10, date_col: str | None
     """
     none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
     numbers, names = numeric_columns(df), categorical_columns(df)
-    date = date_col or detect_date_column(df)
+    date, fmt = (date_col, None) if date_col else detect_date(df)
+    dated = with_dates(df, date, fmt) if date else df
     cells = {}
     for f in df.schema:
-        c = clean(df, f.name)
+        c = clean(dated, f.name)
         number, is_date = f.name in numbers, f.name == date
         cells[f.name] = {
             "dtype": F.lit(f.dataType.simpleString()),
@@ -262,7 +265,7 @@ def table_context(df: DataFrame, max_categories: int = 10, date_col: str | None
             "range_start": F.min(c).cast("string") if is_date else text,
             "range_end": F.max(c).cast("string") if is_date else text,
         }
-    context = per_column(df, cells)
+    context = per_column(dated, cells)
     smallest = [
         df.select(F.col(f"`{c}`").alias("category"))
         .filter(F.col("category").isNotNull())

@@ -13,6 +13,18 @@ from tallyglass.plans.selection import exact_quantiles, grouped_quantile
 AGGREGATES = ("sum", "average", "max", "min", "count", "median")
 
 
+def quoted(name: str) -> str:
+    """A column name as a reference, also where it holds a dot."""
+    return f"`{name}`"
+
+
+def _with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that have a value in every key."""
+    for k in keys:
+        df = df.filter(clean(df, k).isNotNull())
+    return df
+
+
 def filter_in(df: DataFrame, members: dict[str, Sequence]) -> DataFrame:
     """Rows whose columns each hold one of the listed values; an empty list does not filter."""
     for column, values in members.items():
@@ -71,16 +83,16 @@ def aggregate(
     if agg == "median":
         result = grouped_quantile(df, keys, metric, 0.5, metric)
     else:
-        result = df.na.drop(subset=keys).groupBy(*keys).agg(_aggregate_column(df, metric, agg).alias(metric))
+        result = _with_keys(df, keys).groupBy(*map(quoted, keys)).agg(_aggregate_column(df, metric, agg).alias(metric))
     if order or limit is not None:
-        first = F.asc(metric) if order == "asc" else F.desc(metric)
-        result = result.orderBy(first, *keys)
+        first = F.asc(quoted(metric)) if order == "asc" else F.desc(quoted(metric))
+        result = result.orderBy(first, *map(quoted, keys))
     return result if limit is None else result.limit(limit)
 
 
 def count_by(df: DataFrame, by: str) -> DataFrame:
     """Rows per group, largest first; rows without a key are left out."""
-    return df.na.drop(subset=[by]).groupBy(by).count().orderBy(F.desc("count"), by)
+    return _with_keys(df, [by]).groupBy(quoted(by)).count().orderBy(F.desc("count"), quoted(by))
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -90,11 +102,11 @@ def row_count(df: DataFrame) -> DataFrame:
 def leader_laggard(df: DataFrame, metric: str, agg: str, by: str) -> DataFrame:
     """Best and worst group with their values; the smaller key wins a tie."""
     groups = aggregate(df, metric, agg, by)
-    value = F.col(metric)
+    value = F.col(quoted(metric))
     # NULL sorts lowest, so groups without a value are set aside.
     filled = groups.filter(value.isNotNull())
-    best = F.min(F.struct((-value.cast("double")).alias("o"), F.col(by).alias("k"), value.alias("v")))
-    worst = F.min(F.struct(value.cast("double").alias("o"), F.col(by).alias("k"), value.alias("v")))
+    best = F.min(F.struct((-value.cast("double")).alias("o"), F.col(quoted(by)).alias("k"), value.alias("v")))
+    worst = F.min(F.struct(value.cast("double").alias("o"), F.col(quoted(by)).alias("k"), value.alias("v")))
     return filled.agg(best.alias("b"), worst.alias("w")).select(
         F.col("b.k").alias("leader"),
         F.col("b.v").alias("leader_value"),
@@ -110,16 +122,17 @@ def category_breakdown(df: DataFrame, category: str, metric: str, share: bool =
     """
     groups = aggregate(df, metric, "sum", category)
     if share:
-        total = groups.agg(F.sum(metric)).first()[0]
-        groups = groups.withColumn("share", F.try_divide(F.col(metric).cast("double"), F.lit(total).cast("double")))
-    return groups.orderBy(metric, category)
+        # One value from the grouped result; its shuffle serves both.
+        total = groups.agg(F.sum(quoted(metric)).cast("double")).scalar()
+        groups = groups.withColumn("share", F.try_divide(F.col(quoted(metric)).cast("double"), total))
+    return groups.orderBy(quoted(metric), quoted(category))
 
 
 def pivot_mean(df: DataFrame, x: str, y: str, value: str, wide: bool = False) -> DataFrame:
     """Mean of a value per y and x, as rows or with one column per x."""
-    filled = df.na.drop(subset=[x, y]).withColumn("__v", clean(df, value))
+    filled = _with_keys(df, [x, y]).withColumn("__v", clean(df, value))
     if wide:
-        return filled.groupBy(y).pivot(x).agg(F.avg("__v"))
-    return filled.groupBy(y, x).agg(F.avg("__v").alias(value)).filter(F.col(value).isNotNull())
+        return filled.groupBy(quoted(y)).pivot(quoted(x)).agg(F.avg("__v"))
+    return filled.groupBy(quoted(y), quoted(x)).agg(F.avg("__v").alias(value)).filter(F.col(quoted(value)).isNotNull())
 
 

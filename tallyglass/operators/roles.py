@@ -11,9 +11,6 @@ from pyspark.sql import types as T
 
 from tallyglass.sources.catalog import Catalog, Metric
 
-DATE_SAMPLE = 100
-
-
 @dataclass(frozen=True)
 class Roles:
     numeric: tuple[str, ...]
@@ -34,9 +31,12 @@ def is_date_type(kind: T.DataType) -> bool:
     return isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
-def detect_date_column(df: DataFrame, formats: Sequence[str] | None = None, sample: int = DATE_SAMPLE) -> str | None:
-    """First column that is a date, or text whose first values all parse as dates. The sniff is part
-    of the detection rule; one small job covers all text columns that come before a date column."""
+def detect_date(df: DataFrame, formats: Sequence[str] | None = None) -> tuple[str | None, str | None]:
+    """(column, format) of the first column that is a date, or text whose every value parses under one format.
+
+    One aggregate tests the whole of all text columns that come before a date column; the format is None for
+    a column that has a date type.
+    """
     from tallyglass.operators.clean import DATE_FORMATS, date_text_columns
 
     before: list[str] = []
@@ -48,12 +48,28 @@ def detect_date_column(df: DataFrame, formats: Sequence[str] | None = None, samp
         if isinstance(f.dataType, T.StringType):
             before.append(f.name)
     if before:
-        head = df.select(*[f"`{c}`" for c in before]).limit(sample)
-        found = date_text_columns(head, formats or DATE_FORMATS)
+        found = date_text_columns(df.select(*[f"`{c}`" for c in before]), formats or DATE_FORMATS)
         for c in before:
             if c in found:
-                return c
-    return typed
+                return c, found[c]
+    return typed, None
+
+
+def detect_date_column(df: DataFrame, formats: Sequence[str] | None = None) -> str | None:
+    """The name alone that `detect_date` finds."""
+    return detect_date(df, formats)[0]
+
+
+def with_dates(df: DataFrame, name: str, fmt: str | None = None) -> DataFrame:
+    """The table with a text date column read as timestamps; a column of another kind stays as it is.
+
+    Without a format the column is tested as a whole; text that is no date is left alone.
+    """
+    from tallyglass.operators.clean import parsed_text, promote_timestamp
+
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return df
+    return df.withColumn(name, parsed_text(df, name, fmt)) if fmt else promote_timestamp(df, columns=[name])
 
 
 def resolve_schema(df: DataFrame, catalog: Catalog | None = None) -> Roles:

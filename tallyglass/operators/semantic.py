@@ -81,11 +81,11 @@ def governed_metrics(
     df: DataFrame, catalog: Catalog, by: Sequence[str] = (), grain: str | None = None
 ) -> DataFrame:
     """All governed metrics, overall or per dimension and time grain (day, week, month, quarter, year)."""
-    keys = [F.col(c) for c in by]
+    keys = [F.col(f"`{c}`") for c in by]
     if grain:
         if not catalog.time_column:
             raise ValueError("a grain needs a catalog with a time column")
-        keys.append(F.date_trunc(grain, catalog.time_column).cast("timestamp_ntz").alias("period"))
+        keys.append(F.date_trunc(grain, F.col(f"`{catalog.time_column}`")).cast("timestamp_ntz").alias("period"))
     return df.groupBy(*keys).agg(*metric_columns(df, catalog))
 
 
@@ -97,5 +97,6 @@ def drill_down(df: DataFrame, catalog: Catalog, hierarchy: str) -> DataFrame:
     levels = [c for c in catalog.hierarchies[hierarchy] if c in df.columns]
     if not levels:
         raise ValueError(f"the table has no column of hierarchy {hierarchy}")
-    used = sum((1 - F.grouping(c) for c in levels), F.lit(0))
-    return df.rollup(*levels).agg(used.cast("int").alias("level"), *metric_columns(df, catalog))
+    names = [f"`{c}`" for c in levels]
+    used = sum((1 - F.grouping(c) for c in names), F.lit(0))
+    return df.rollup(*names).agg(used.cast("int").alias("level"), *metric_columns(df, catalog))

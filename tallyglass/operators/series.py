@@ -10,17 +10,18 @@ from pyspark.sql.window import Window
 
 from tallyglass.functions.columns import clean, label_of, pearson
 from tallyglass.operators.profile import per_column
-from tallyglass.operators.roles import numeric_columns
+from tallyglass.operators.roles import numeric_columns, with_dates
 from tallyglass.plans.ordered import over_ordered
 from tallyglass.plans.selection import rank_cuts
 from tallyglass.sources.catalog import Catalog
 
 
 def series(df: DataFrame, date_col: str, metric: str, agg: str = "sum", ordered: bool = True) -> DataFrame:
-    """One row per date: ds and the sum (or mean) y; rows without a date are left out."""
+    """One row per date: ds and the sum (or mean) y; rows without a date are left out, text dates are read first."""
+    df = with_dates(df, date_col)
     value = clean(df, metric)
     y = F.coalesce(F.sum(value), F.lit(0)) if agg == "sum" else F.avg(value)
-    rows = df.filter(F.col(date_col).isNotNull()).groupBy(F.col(date_col).alias("ds")).agg(y.alias("y"))
+    rows = df.filter(F.col(f"`{date_col}`").isNotNull()).groupBy(F.col(f"`{date_col}`").alias("ds")).agg(y.alias("y"))
     return rows.orderBy("ds") if ordered else rows
 
 
@@ -59,7 +60,8 @@ def growth_first_last(points: DataFrame, k: int = 7, significant: float = 20.0)
     )
 
 
-def _default_metrics(df: DataFrame, metrics: Sequence[str] | None, n: int) -> list[str]:
+def _default_metrics(df: DataFrame, metrics: Sequence[str] | None, n: int | None = None) -> list[str]:
+    """The metrics asked for, else all numeric columns; n keeps the first of those."""
     return list(metrics) if metrics is not None else numeric_columns(df)[:n]
 
 
@@ -104,13 +106,14 @@ def trend_insight(
     share: float = 0.2,
     min_abs: float = 8.0,
     high_abs: float = 20.0,
-    max_metrics: int = 4,
+    max_metrics: int | None = None,
     cuts: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """Metrics whose mean moved between the earliest and the latest rows."""
     names = _default_metrics(df, metrics, max_metrics)
     found = trend_measures(df, names, order_by, share, cuts).filter(F.abs("value") > min_abs)
     size = F.format_string("%.1f", F.abs("value"))
+    # Titles and descriptions.
     return found.select(
         "seq",
         F.lit("trend").alias("type"),
@@ -140,7 +143,7 @@ def momentum_insight(
     order_by: Sequence[str] = (),
     k: int = 7,
     min_abs: float = 12.0,
-    max_metrics: int = 4,
+    max_metrics: int | None = None,
     unit: str = "rows",
 ) -> DataFrame:
     """The last k rows against the k before them; `unit="days"` compares calendar days of the first
@@ -178,6 +181,7 @@ def momentum_insight(
         .filter(F.abs("value") > min_abs)
     )
     size = F.format_string("%.1f", F.abs("value"))
+    # Titles and descriptions.
     return found.select(
         "seq",
         F.lit("trend_weekly").alias("type"),
@@ -201,12 +205,13 @@ def overview_kpis(
     df: DataFrame,
     order_by: Sequence[str],
     catalog: Catalog | None = None,
-    n: int = 4,
+    n: int | None = None,
     mode: str = "whole",
     numeric: Sequence[str] | None = None,
 ) -> DataFrame:
     """Headline figures with their change against the first half of the rows.
 
+    All metrics by default, those of PRIORITY_METRICS first; `n` keeps the first of them.
     `mode="whole"` compares the whole table with its first half; `halves` compares the two halves.
     """
     numbers = list(numeric) if numeric is not None else numeric_columns(df)
@@ -252,7 +257,7 @@ def half_changes(
                 F.avg(F.when(head, clean(df, m))).alias(f"a{j}"),
                 F.avg(F.when(~head, clean(df, m))).alias(f"b{j}"),
             ]
-        groups = df.na.drop(subset=[category]).groupBy(F.col(category).cast("string").alias("member")).agg(*folds)
+        groups = df.filter(F.col(f"`{category}`").isNotNull()).groupBy(F.col(f"`{category}`").cast("string").alias("member")).agg(*folds)
         rows = [
             F.struct(
                 F.lit(m).alias("metric"),
@@ -291,7 +296,7 @@ def change_drivers(
     order_by: Sequence[str],
     direction: int = 1,
     min_abs: float = 15.0,
-    max_categories: int = 2,
+    max_categories: int | None = None,
 ) -> DataFrame:
     """Per category the member that moved most in the direction of change (above zero is up)."""
     changes = half_changes(df, [metric], list(categories)[:max_categories], order_by)
@@ -310,7 +315,7 @@ def trend_drivers(
     categories: Sequence[str],
     order_by: Sequence[str],
     min_abs: float = 15.0,
-    max_categories: int = 2,
+    max_categories: int | None = None,
     head: Column | None = None,
 ) -> DataFrame:
     """The drivers of several metrics at once, as text for a rise and for a fall of each metric."""
@@ -319,7 +324,7 @@ def trend_drivers(
     def listed(side: str) -> Column:
         change = F.col(f"{side}.change_pct")
         text = _driver_text(F.col("category"), F.col(f"{side}.member"), change)
-        # At most `max_categories` entries per metric.
+        # At most one entry per category column and metric.
         kept = F.collect_list(F.when(F.abs(change) > min_abs, F.struct(F.col("category_seq"), text.alias("text"))))
         return F.nullif(F.array_join(F.transform(F.array_sort(kept), lambda x: x["text"]), ", "), F.lit(""))
 
@@ -339,13 +344,14 @@ def seasonality_insight(
     lag: int = 7,
     min_points: int = 30,
     min_abs: float = 0.4,
-    max_metrics: int = 2,
+    max_metrics: int | None = None,
 ) -> DataFrame:
     """Metrics whose totals per date repeat after `lag` points."""
+    df = with_dates(df, date_col)
     names = _default_metrics(df, metrics, max_metrics)
     totals = (
-        df.filter(F.col(date_col).isNotNull())
-        .groupBy(F.col(date_col).alias("ds"))
+        df.filter(F.col(f"`{date_col}`").isNotNull())
+        .groupBy(F.col(f"`{date_col}`").alias("ds"))
         .agg(*[F.coalesce(F.sum(clean(df, m)), F.lit(0)).alias(f"y{i}") for i, m in enumerate(names)])
     )
     pairs = over_ordered(

@@ -53,6 +53,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, full
         F.count(F.lit(1)).alias("n"),
         *[F.count(value[c]).alias(f"n{i}") for i, c in enumerate(names)],
         *[F.avg(value[c]).alias(f"m{i}") for i, c in enumerate(names)],
+        *[(F.min(value[c]) < F.max(value[c])).alias(f"v{i}") for i, c in enumerate(names)],
     ).first()
     # Columns without gaps share their centred sums: one product per pair instead of a full
     # correlation. Pairs with a gap are correlated over the rows that have both values.
@@ -72,6 +73,9 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, full
         sums.update({p: row[f"s{p[0]}_{p[1]}"] for p in batch})
 
     def of_pair(i: int, j: int) -> float | None:
+        # A constant has no correlation, though its rounded mean may leave a tiny spread.
+        if not (seen[f"v{i}"] and seen[f"v{j}"]):
+            return None
         if (i, j) in gappy:
             return sums[i, j]
         spread = math.sqrt(sums[i, i] * sums[j, j])
@@ -103,6 +107,7 @@ def correlation_insight(
     names = list(columns) if columns is not None else numeric_columns(df)
     found = correlation_matrix(df, names).filter(F.abs("r") > min_abs)
     high = F.abs("r") > high_abs
+    # Titles and descriptions.
     return found.select(
         (F.col("i") * len(names) + F.col("j")).alias("seq"),
         F.lit("correlation").alias("type"),
@@ -144,7 +149,7 @@ def anomaly_insight(
     k: float = 1.5,
     min_pct: float = 3.0,
     high_pct: float = 8.0,
-    max_metrics: int = 4,
+    max_metrics: int | None = None,
 ) -> DataFrame:
     """Metrics with many rows outside their fences, as a share of all rows."""
     names = _default_metrics(df, metrics, max_metrics)
@@ -159,6 +164,7 @@ def anomaly_insight(
         .withColumn("value", F.try_divide("outliers", "n_rows") * 100)
         .filter(F.col("value") > min_pct)
     )
+    # Titles and descriptions.
     return found.select(
         "seq",
         F.lit("anomaly").alias("type"),
@@ -215,7 +221,7 @@ def histogram(df: DataFrame, metric: str, bins: int = 50) -> DataFrame:
 
 
 def distribution_insight(
-    df: DataFrame, metrics: Sequence[str] | None = None, min_abs: float = 1.5, max_metrics: int = 3
+    df: DataFrame, metrics: Sequence[str] | None = None, min_abs: float = 1.5, max_metrics: int | None = None
 ) -> DataFrame:
     """Metrics with a long tail."""
     names = _default_metrics(df, metrics, max_metrics)
@@ -224,6 +230,7 @@ def distribution_insight(
     }
     found = per_column(df, cells).withColumnRenamed("name", "metric").filter(F.abs("value") > min_abs)
     side = F.when(F.col("value") > 0, "right (positive)").otherwise("left (negative)")
+    # Titles and descriptions.
     return found.select(
         "seq",
         F.lit("distribution").alias("type"),
@@ -242,8 +249,8 @@ def performance_gap_insight(
     metrics: Sequence[str] | None = None,
     min_pct: float = 25.0,
     high_pct: float = 50.0,
-    max_categories: int = 2,
-    max_metrics: int = 2,
+    max_categories: int | None = None,
+    max_metrics: int | None = None,
 ) -> DataFrame:
     """Categories whose best and worst members lie far apart in mean. One aggregate per category
     covers all metrics."""
@@ -252,7 +259,7 @@ def performance_gap_insight(
     parts = []
     for i, category in enumerate(cats):
         groups = (
-            df.na.drop(subset=[category])
+            df.filter(F.col(f"`{category}`").isNotNull())
             .groupBy(F.col(f"`{category}`").cast("string").alias("member"))
             .agg(*[F.avg(clean(df, m)).alias(f"m{j}") for j, m in enumerate(names)])
         )
@@ -277,6 +284,7 @@ def performance_gap_insight(
         .withColumn("value", F.when((F.col("n_groups") >= 2) & (F.col("bottom.v") > 0), gap))
         .filter(F.col("value") > min_pct)
     )
+    # Titles and descriptions.
     return found.select(
         "seq",
         F.lit("performance_gap").alias("type"),
@@ -308,6 +316,7 @@ def ttest_measures(
 
     The groups are the first two in sorted order unless named. Only counts, means and variances per
     group are kept. A missing value counts as a row of its group and leaves the test undefined.
+    `ttest_against_rest` tests every member.
     """
     member = F.col(f"`{category}`")
     if groups is None:
@@ -346,20 +355,91 @@ def ttest_measures(
     )
 
 
+def ttest_against_rest(df: DataFrame, category: str, metrics: Sequence[str], min_n: int = 30) -> DataFrame:
+    """Pooled t-test of every member of a category against all other rows, for each metric.
+
+    One grouped aggregate keeps count, sum and sum of squared deviations of each member; those of the rest
+    follow from the totals over the members. Rows without a member are left out.
+    """
+    member = F.col(f"`{category}`")
+    values = [clean(df, m).cast("double") for m in metrics]
+    cells = []
+    for j, v in enumerate(values):
+        cells += [F.count(v).alias(f"n{j}"), F.avg(v).alias(f"m{j}"), F.var_pop(v).alias(f"v{j}")]
+    groups = (
+        df.filter(member.isNotNull()).groupBy(member.cast("string").alias("member")).agg(F.count(F.lit(1)).alias("rows"), *cells)
+    )
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(j).alias("seq"), F.lit(m).alias("measure"), F.col(f"n{j}").alias("n1"), F.col(f"m{j}").alias("mean1"),
+                F.col(f"v{j}").alias("pop1"),
+            )
+            for j, m in enumerate(metrics)
+        ]
+    )
+    listed = groups.select("member", "rows", F.inline(rows))
+    whole = listed.groupBy("seq").agg(
+        F.sum("n1").alias("n"),
+        F.sum("rows").alias("all_rows"),
+        F.try_divide(F.sum(F.col("n1") * F.col("mean1")), F.sum("n1")).alias("mean"),
+        F.sum(F.col("n1") * F.col("pop1")).alias("inside"),
+        F.sum(F.col("n1") * F.col("mean1") * F.col("mean1")).alias("squares"),
+    )
+    # One row per metric.
+    both = listed.join(F.broadcast(whole), "seq").withColumn("n2", F.col("n") - F.col("n1"))
+    between = F.greatest(F.col("squares") - F.col("n") * F.col("mean") * F.col("mean"), F.lit(0.0))
+    total = F.col("inside") + between
+    both = both.withColumn("mean2", F.try_divide(F.col("n") * F.col("mean") - F.col("n1") * F.col("mean1"), F.col("n2")))
+    # The spread within both sides is the total less what lies between the member and the rest.
+    gap = F.col("mean1") - F.col("mean2")
+    within = F.greatest(total - F.col("n1") * F.col("n2") / F.col("n") * gap * gap, F.lit(0.0))
+    complete = (
+        (F.col("n1") >= min_n) & (F.col("n2") >= min_n) & (F.col("n1") == F.col("rows")) & (F.col("n2") == F.col("all_rows") - F.col("rows"))
+    )
+    dof = (F.col("n") - 2).cast("double")
+    both = both.withColumn("dof", F.when(complete, dof)).withColumn(
+        "t", F.when(complete, F.try_divide(gap, F.sqrt(within / dof * (1 / F.col("n1") + 1 / F.col("n2")))))
+    )
+    return both.select(
+        "seq",
+        F.lit(category).alias("category"),
+        "measure",
+        F.lit("all others").alias("group1"),
+        F.col("member").alias("group2"),
+        F.col("n2").alias("n1"), F.col("n1").alias("n2"), F.col("mean2").alias("mean1"), F.col("mean1").alias("mean2"),
+        (-F.col("t")).alias("t"), "dof",
+        t_two_sided_p(F.col("t"), F.col("dof")).alias("p_value"),
+        F.coalesce(F.try_divide(F.col("mean1") - F.col("mean2"), F.col("mean2")) * 100, F.lit(0.0)).alias("diff_pct"),
+    )
+
+
 def ttest_insight(
     df: DataFrame,
     category: str | None = None,
     metrics: Sequence[str] | None = None,
-    groups: Sequence[str] | None = None,
+    groups: Sequence[str] | str | None = None,
     min_n: int = 30,
     alpha: float = 0.05,
     high_alpha: float = 0.01,
-    max_metrics: int = 2,
+    max_metrics: int | None = None,
 ) -> DataFrame:
-    """Metrics whose means differ between two groups beyond chance."""
-    name = category or categorical_columns(df)[0]
+    """Metrics whose means differ between groups of a category beyond chance.
+
+    Without a category, all of them are tested. Two groups are compared where `groups` names them or
+    is "first two"; otherwise each member is compared with all other rows.
+    """
     names = _default_metrics(df, metrics, max_metrics)
-    found = ttest_measures(df, name, names, groups, min_n).filter(F.col("p_value") < alpha)
+    cats = [category] if category else categorical_columns(df)
+    parts = []
+    for i, name in enumerate(cats):
+        if groups is None:
+            part = ttest_against_rest(df, name, names, min_n)
+        else:
+            part = ttest_measures(df, name, names, None if groups == "first two" else groups, min_n)
+        parts.append(part.withColumn("seq", F.col("seq") + i * len(names)))
+    found = reduce(DataFrame.unionByName, parts).filter(F.col("p_value") < alpha)
+    # Titles and descriptions.
     return found.select(
         "seq",
         F.lit("statistical_test").alias("type"),
@@ -380,8 +460,8 @@ def ols_line(df: DataFrame, x: str, y: str, by: str | None = None) -> DataFrame:
     cx, cy = clean(df, x).cast("double"), clean(df, y).cast("double")
     both = df.filter(cx.isNotNull() & cy.isNotNull())
     if by:
-        both = both.na.drop(subset=[by])
-    return both.groupBy(*([by] if by else [])).agg(
+        both = both.filter(clean(df, by).isNotNull())
+    return both.groupBy(*([f"`{by}`"] if by else [])).agg(
         F.regr_slope(cy, cx).alias("slope"),
         F.regr_intercept(cy, cx).alias("intercept"),
         F.regr_r2(cy, cx).alias("r2"),

@@ -72,6 +72,7 @@ def load_catalog(spark: SparkSession, path: str) -> Catalog:
 def validate_catalog(df: DataFrame, catalog: Catalog) -> DataFrame:
     """One row per definition that names no column, or one the table does not have."""
     spark = df.sparkSession
+    # The wording of the issues.
     wanted = [
         (i, m.column or None, f"Metric '{m.name}' is missing a column mapping.", f"Metric '{m.name}' column '{m.column}' not found.")
         for i, m in enumerate(catalog.metrics)

@@ -13,7 +13,10 @@ from tallyglass.operators import roles
 from tallyglass.operators.profile import quality_score
 
 # Spellings read as missing in CSV input.
-NA_TOKENS = ("", "#N/A", "N/A", "NA", "NULL", "NaN", "None", "nan", "null", "n/a", "<NA>")
+NA_TOKENS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+    "n/a", "nan", "null",
+)
 
 
 def read_csv(
@@ -21,10 +24,15 @@ def read_csv(
     path: str | Sequence[str],
     na_tokens: Sequence[str] = NA_TOKENS,
     schema: T.StructType | str | None = None,
+    quoted_breaks: bool = True,
 ) -> DataFrame:
     """CSV with a header. Without a schema every column is read as text and its type settled after
-    the missing-value spellings are gone, so one "N/A" does not turn a number column into text."""
-    reader = spark.read.option("header", True).option("multiLine", False).option("escape", '"')
+    the missing-value spellings are gone, so one "N/A" does not turn a number column into text.
+
+    Values in quotes may hold line breaks, so a file is read by one task; many files are read side by side.
+    `quoted_breaks=False` also cuts large files whose values are known to hold none.
+    """
+    reader = spark.read.option("header", True).option("multiLine", quoted_breaks).option("escape", '"')
     if schema is not None:
         return reader.schema(schema).option("nullValue", "").csv(path)
     from tallyglass.operators.clean import promote_numeric, promote_timestamp
@@ -119,6 +127,7 @@ def result_key(query: str) -> str:
 def save_result(df: DataFrame, folder: str, query: str, title: str | None = None, text: str = "") -> str:
     """Keep a query result under an eight-character key of its question, with title and text beside it."""
     key = result_key(query)
+    # Fixed value: the title a saved result gets by default.
     shown = title or f"Insight: {query[:45]}{'...' if len(query) > 45 else ''}"
     df.write.mode("overwrite").parquet(f"{folder}/data/key={key}")
     card = df.sparkSession.createDataFrame([(shown, query, text)], "title string, query string, text string")

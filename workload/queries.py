@@ -462,7 +462,7 @@ QUALITY_DIGITS = {"overall": 6, "completeness": 6, "uniqueness": 6}
 add(
     "quality_score",
     lambda s, d: P.quality_score(C.strip_symbols(V.events_dirty(s, d))),
-    with_dirty(f", stripped AS (SELECT * REPLACE ({STRIPPED}) FROM dirty) " + _quality_sql("stripped", list(DIRTY_TYPES), 90)).replace("\n,", ","),
+    with_dirty(f", stripped AS (SELECT * REPLACE ({STRIPPED}) FROM dirty) " + _quality_sql("stripped", list(DIRTY_TYPES), 85)).replace("\n,", ","),
     QUALITY_DIGITS,
 )
 LINE_PARTS = ("l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax")
@@ -744,7 +744,7 @@ add(
         + ", ".join(
             f"""CASE WHEN {v} IS NULL THEN 'N/A' WHEN abs({v}) >= 1e9 THEN printf('%.2fB', {v} / 1e9)
             WHEN abs({v}) >= 1e6 THEN printf('%.2fM', {v} / 1e6) WHEN abs({v}) >= 1e3 THEN printf('%.2fK', {v} / 1e3)
-            ELSE printf('%.2f', {v}) END AS {n}"""
+            ELSE format('{{:,.2f}}', {v}) END AS {n}"""
             for v, n in (("value", "plain"), ("pow(value, 5)", "large"))
         )
         + " FROM dirty"
@@ -871,13 +871,13 @@ def _kpi_sql(mode: str, chosen) -> str:
 
 add(
     "overview_kpis",
-    lambda s, d: S.overview_kpis(ordered_sales(s, d, "sales", "revenue", "profit", "quantity"), V.SALES_ORDER),
+    lambda s, d: S.overview_kpis(ordered_sales(s, d, "sales", "revenue", "profit", "quantity"), V.SALES_ORDER, n=4),
     _kpi_sql("whole", [(c, W.title(c), "sum") for c in ("sales", "revenue", "profit", "quantity")]),
     {"value": 4, "delta": 7},
 )
 add(
     "overview_kpis_halves",
-    lambda s, d: S.overview_kpis(ordered_sales(s, d, "revenue", "profit", "discount"), V.SALES_ORDER, V.CATALOG, mode="halves"),
+    lambda s, d: S.overview_kpis(ordered_sales(s, d, "revenue", "profit", "discount"), V.SALES_ORDER, V.CATALOG, n=4, mode="halves"),
     _kpi_sql("halves", [("revenue", "Revenue", "sum"), ("profit", "Profit", "sum"), ("discount", "Average Discount", "avg")]),
     {"value": 4, "delta": 7},
 )

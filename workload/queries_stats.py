@@ -226,7 +226,7 @@ def _ttest_insight_sql(metrics) -> str:
 
 add(
     "ttest_insight",
-    lambda s, d: A.ttest_insight(V.events(s, d), "event_type", ["value", "user_id"], alpha=1.1),
+    lambda s, d: A.ttest_insight(V.events(s, d), "event_type", ["value", "user_id"], "first two", alpha=1.1),
     f"WITH {_tests_sql('events', 'event_type', ['value', 'user_id'])}, {_ttest_insight_sql(['value', 'user_id'])} SELECT * FROM ttests",
     {"value": 6, "t": 7, "diff_pct": 6},
 )
@@ -335,7 +335,10 @@ INSIGHTS = f"""{ANALYSES}, insights AS (SELECT row_number() OVER (ORDER BY place
 
 
 def insight_table(s: SparkSession, d: str) -> DataFrame:
-    return I.all_insights(V.sales(s, d), V.SALES_ORDER, ROLES, ZERO, drivers_min_abs=0.0)
+    narrowed = {"distribution": TREND_METRICS[:3], "gap": TREND_METRICS[:2], "ttest": TREND_METRICS[:2], "seasonality": TREND_METRICS[:2]}
+    return I.all_insights(
+        V.sales(s, d), V.SALES_ORDER, ROLES, ZERO, drivers_min_abs=0.0, metrics=narrowed, ttest=("category", "first two")
+    )
 
 
 add("all_insights", insight_table, f"WITH {INSIGHTS} SELECT * FROM insights", {"value": 5})
@@ -381,7 +384,7 @@ def _narrate_other(s: SparkSession, d: str) -> DataFrame:
     tables = [
         S.momentum_insight(data, TREND_METRICS, V.SALES_ORDER, min_abs=0.0),
         A.distribution_insight(data, TREND_METRICS[:3], 0.0),
-        A.ttest_insight(data, "category", TREND_METRICS[:2], alpha=1.1),
+        A.ttest_insight(data, "category", TREND_METRICS[:2], "first two", alpha=1.1),
         S.seasonality_insight(data, "date", TREND_METRICS[:2], min_abs=0.0),
     ]
     told = [N.narrate_other(t).select("type", "metric", "narrative") for t in tables]
@@ -422,7 +425,7 @@ RECOMMENDATIONS = f"""advice AS (
   UNION ALL SELECT 1000001, 'Several dimensions are there: compare metrics across their combinations.', {_advice_row('segments')})"""
 add(
     "recommendations",
-    lambda s, d: I.recommendations(insight_table(s, d), V.sales(s, d), ROLES),
+    lambda s, d: I.recommendations(insight_table(s, d), V.sales(s, d), ROLES, 5),
     f"WITH {INSIGHTS}, {RECOMMENDATIONS} SELECT * FROM advice",
 )
 add(
