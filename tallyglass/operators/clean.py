@@ -25,6 +25,19 @@ DATE_FORMATS = (
     "dd-MM-yyyy",
     "MMM d, yyyy",
     "MMMM d, yyyy",
+    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX",
+    "yyyyMMdd",
+    "yyyy/M/d",
+    "M/d/yyyy",
+    "d/M/yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "MM/dd/yyyy HH:mm[:ss]",
+    "MM/dd/yyyy hh:mm[:ss] a",
+    "dd/MM/yyyy HH:mm[:ss]",
 )
 
 
@@ -98,7 +111,8 @@ def format_shape(fmt: str) -> str | None:
     A failed parse costs an exception per row, so texts of another shape are told apart first.
     """
     known = {"yyyy": "[0-9]{4}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]+", "d": "[0-9]{1,2}", "SSSSSS": "[0-9]{1,6}"}
-    known.update({two: "[0-9]{2}" for two in ("MM", "dd", "HH", "mm", "ss")})
+    known.update({two: "[0-9]{2}" for two in ("MM", "dd", "HH", "hh", "mm", "ss")})
+    known.update({"M": "[0-9]{1,2}", "a": "[AaPp][Mm]", "XXX": "(Z|[+-][0-9]{2}:[0-9]{2})"})
     out = []
     for token in re.finditer(r"'([^']*)'|(([A-Za-z])\3*)|[^A-Za-z']", fmt):
         quoted, run, mark = token.group(1), token.group(2), token.group(0)
@@ -188,9 +202,9 @@ def _fill_plan(df: DataFrame, strategy: str, columns: Sequence[str] | None) -> l
         value.update(df.agg(*[F.avg(clean(df, c)).alias(c) for c in means]).first().asDict())
     medians = exact_quantiles(df, {c: [0.5] for c in holes if method[c] == "median"})
     value.update({c: v[0] for c, v in medians.items()})
+    value.update(most_frequent(df, [c for c in holes if method[c] == "mode"]))
     for c in holes:
         if method[c] == "mode":
-            value[c] = most_frequent(df, c)
             if value[c] is None and strategy == "auto" and isinstance(df.schema[c].dataType, T.StringType):
                 method[c], value[c] = "constant", "Unknown"
         elif method[c] == "zero":

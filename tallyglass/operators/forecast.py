@@ -8,7 +8,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -26,10 +26,29 @@ def forecast_input(df: DataFrame, date_col: str, metric: str, by: Sequence[str]
     return keep.groupBy(*[f"`{c}`" for c in by], at.alias("ds")).agg(F.coalesce(F.sum(clean(df, metric)), F.lit(0)).cast("double").alias("y"))
 
 
+STEPS = {"day": "D", "week": "7D", "month": "MS"}
+
+
+def _steps_after(last: str, periods: int, step: str) -> Column:
+    """The dates of `periods` steps after a date: days, weeks, or the first days of the following months."""
+    if step not in STEPS:
+        raise ValueError(f"unknown step {step}")
+    if step == "month":
+        return F.transform(F.sequence(F.lit(1), F.lit(periods)), lambda k: F.add_months(F.trunc(last, "month"), k))
+    days = 7 if step == "week" else 1
+    return F.transform(F.sequence(F.lit(1), F.lit(periods)), lambda k: F.date_add(last, k * days))
+
+
 def forecast(
-    df: DataFrame, date_col: str, metric: str, periods: int = 30, by: Sequence[str] = (), interval: float = 0.95
+    df: DataFrame,
+    date_col: str,
+    metric: str,
+    periods: int = 30,
+    by: Sequence[str] = (),
+    interval: float = 0.95,
+    step: str = "day",
 ) -> DataFrame:
-    """Straight trend plus weekday effects, over the history and `periods` days beyond it.
+    """Straight trend plus weekday effects, over the history and `periods` steps (day, week, month) beyond it.
 
     Each series is fitted on its own daily totals; calendar days bound what one series can hold.
     """
@@ -57,7 +76,7 @@ def forecast(
         *[F.first(c).alias(c) for c in ("first_day", "slope", "level", "spread")],
         effects.alias("effects"),
     )
-    ahead = F.sequence(F.date_add("last_day", 1), F.date_add("last_day", periods))
+    ahead = _steps_after("last_day", periods, step)
     future = (
         last.filter(F.col("last_day").isNotNull())
         .withColumn("ds", F.explode(ahead))
@@ -127,13 +146,17 @@ def forecast_fourier(
     interval: float = 0.95,
     changepoints: int = 25,
     changepoint_scale: float = 0.05,
+    step: str | None = None,
 ) -> DataFrame:
     """A trend that may bend, plus yearly, weekly and daily waves, fitted per series.
 
     Spark totals each series per day first (per hour where daily waves are asked for), so the group
-    handed to the fit is one series of calendar steps, whatever the size of the table.
+    handed to the fit is one series of calendar steps, whatever the size of the table. `step` (hour, day, week,
+    month) is how the series goes on: by hours where daily waves are asked for, else by days.
     """
     keys = list(by)
+    wanted = step or ("hour" if daily else "day")
+    freq = {**STEPS, "hour": "h"}[wanted]
     grain = "hour" if daily else "day"
     totals = forecast_input(df, date_col, metric, keys, grain).withColumn("ds", F.col("ds").cast("timestamp_ntz"))
     z = NormalDist().inv_cdf(0.5 + interval / 2)
@@ -153,7 +176,9 @@ def forecast_fourier(
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ds")
         ds = pd.to_datetime(rows["ds"])
-        steps = pd.date_range(ds.iloc[-1].normalize(), periods=periods + 1, freq="D")[1:]
+        last = ds.iloc[-1] if wanted == "hour" else ds.iloc[-1].normalize()
+        last = last.replace(day=1) if wanted == "month" else last
+        steps = pd.date_range(last, periods=periods + 1, freq=freq)[1:]
         origin = pd.Timestamp("1970-01-01")
         days, ahead = ((d - origin) / pd.Timedelta(days=1) for d in (ds, steps))
         out, spread = _fit_one(np.asarray(days), rows["y"].to_numpy(), np.asarray(ahead), parts, changepoints, changepoint_scale)

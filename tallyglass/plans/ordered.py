@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tallyglass.plans.staging import stage
@@ -45,12 +44,10 @@ def over_ordered(
 ) -> DataFrame:
     """Adds window columns that look back at most `lookback` rows in the given order.
 
-    A calendar date bounds the row count of a one-row-per-date table, and a counted small table is
-    fine too: both use one sorted window. Larger tables are cut into blocks of consecutive positions,
-    each with the last `lookback` rows of the block before it.
+    A table counted to be small uses one sorted window. Larger tables are cut into blocks of consecutive
+    positions, each with the last `lookback` rows of the block before it.
     """
-    by_day = len(order_by) == 1 and isinstance(df.schema[order_by[0]].dataType, T.DateType)
-    if by_day or df.count() <= ONE_TASK_ROWS:
+    if df.count() <= ONE_TASK_ROWS:
         return df.withColumns(columns(Window.orderBy(*order_by)))
     block = F.floor(F.col("__at") / BLOCK_ROWS)
     late = F.col("__at") % BLOCK_ROWS >= BLOCK_ROWS - lookback

@@ -36,6 +36,8 @@ FEW_KEYS = 100_000
 # Rows tied on the leading order key before they are sorted by the remaining keys.
 TIE_ROWS = 10_000
 GRID = 200
+# Rounds of narrowing; a sound sketch needs a dozen for 10**12 rows.
+MOST_ROUNDS = 100
 ACCURACY = 2000
 # Aggregates per pass that still compile into one stage.
 FIELDS_PER_PASS = 96
@@ -59,7 +61,9 @@ class Target:
     def __post_init__(self):
         self.inside = self.n if self.inside is None else self.inside
         self.found: dict[int, tuple[float, int, int]] = {}
-        self.outer = (None, None)
+        self.outer = (None, None, 0, self.n)
+        # Grid steps taken on either side of a rank; more after a sketch that missed.
+        self.slack = 1
 
     @property
     def want(self) -> list[int]:
@@ -72,12 +76,12 @@ class Target:
 
     def narrow(self, grid: Sequence[float]) -> None:
         """The grid steps around the open ranks become the bracket; `inside` is then an estimate."""
-        self.outer = (self.lo, self.hi)
-        first = int((self.open[0] - self.below + 0.5) / self.inside * GRID) - 1
-        last = int((self.open[-1] - self.below + 0.5) / self.inside * GRID) + 2
+        self.outer = (self.lo, self.hi, self.below, self.inside)
+        first = int((self.open[0] - self.below + 0.5) / self.inside * GRID) - self.slack
+        last = int((self.open[-1] - self.below + 0.5) / self.inside * GRID) + 1 + self.slack
         self.lo = grid[first] if first >= 0 else self.lo
         self.hi = grid[last] if last <= GRID else self.hi
-        self.inside = int(self.inside * (last - first + 1) / GRID)
+        self.inside = int(self.inside * min(1, (last - first + 1) / GRID))
 
     def check(self, lt_lo: int, le_lo: int, lt_hi: int, le_hi: int) -> bool:
         """Takes the counts at the bracket edges; false where an open rank lies outside."""
@@ -90,10 +94,20 @@ class Target:
         self.below, self.inside = le_lo, max(lt_hi - le_lo, 0)
         if all(le_lo <= r < lt_hi for r in rest):
             return True
-        # The sketch missed: fall back to the bracket it was taken in.
-        self.lo = self.outer[0] if min(rest) < le_lo else self.lo
-        self.hi = self.outer[1] if max(rest) >= lt_hi else self.hi
-        self.inside = self.n
+        self.slack = min(2 * self.slack, GRID // 3)
+        # The sketch missed. The counts still cut the bracket it was taken in, on the side where the ranks lie, so
+        # every round leaves fewer rows.
+        lo, hi, below, inside = self.outer
+        upper = below + inside
+        if max(rest) < le_lo:
+            hi, upper = self.lo, lt_lo
+        elif min(rest) >= lt_hi:
+            lo, below = self.hi, le_hi
+        elif min(rest) >= le_lo:
+            lo, below = self.lo, le_lo
+        elif max(rest) < lt_hi:
+            hi, upper = self.hi, lt_hi
+        self.lo, self.hi, self.below, self.inside = lo, hi, below, upper - below
         return False
 
 
@@ -187,7 +201,7 @@ class _Groups:
 def select_ranks(source: _Columns | _Groups, targets: dict[Hashable, Target]) -> None:
     """Fills `found` of every target: rank -> (value, rows below it, rows at it)."""
     busy = dict(targets)
-    while True:
+    for _ in range(MOST_ROUNDS):
         large = {t: g for t, g in busy.items() if g.open and g.inside > FINAL_ROWS}
         if not large:
             break
@@ -197,6 +211,8 @@ def select_ranks(source: _Columns | _Groups, targets: dict[Hashable, Target]) ->
         counts = source.count(large)
         for t, g in large.items():
             g.check(*counts[t])
+    else:
+        raise RuntimeError(f"no bracket of at most {FINAL_ROWS} rows after {MOST_ROUNDS} rounds: the sketches contradict the counts")
 
     last = {t: g for t, g in busy.items() if g.open}
     if not last:
@@ -266,21 +282,30 @@ def exact_quantiles(
 def grouped_quantile(df: DataFrame, keys: Sequence[str], name: str, prob: float, out: str) -> DataFrame:
     """Exact quantile of `name` per group (keys not NULL), also where one group holds most of the rows."""
     keys = list(keys)
-    data = df.na.drop(subset=keys).select(*keys, clean(df, name).cast("double").alias("__x"))
+    data = df
+    for k in keys:
+        data = data.filter(clean(df, k).isNotNull())
+    # Plain names inside, whatever the keys are called.
+    named = {f"__k{i}": k for i, k in enumerate(keys)}
+    data = data.select(*[F.col(f"`{k}`").alias(a) for a, k in named.items()], clean(df, name).cast("double").alias("__x"))
+    keys = list(named)
     sizes = data.groupBy(*keys).agg(F.count("__x").alias("__n"))
     largest, total = sizes.agg(F.max("__n"), F.sum("__n")).first()
 
     def plain(rows: DataFrame) -> DataFrame:
         return rows.groupBy(*keys).agg(F.percentile("__x", F.lit(prob)).alias(out))
 
+    def told(rows: DataFrame) -> DataFrame:
+        return rows.withColumnsRenamed(named)
+
     if (largest or 0) <= SMALL_GROUP:
-        return plain(data)
+        return told(plain(data))
 
     # At most 100,000 groups can be this large, so their brackets are safe to broadcast.
     limit = max(SMALL_GROUP, total // 100_000)
     heavy = sizes.filter(F.col("__n") > limit).collect()
     if not heavy:
-        return plain(data)
+        return told(plain(data))
     spark = df.sparkSession
     schema = T.StructType([*(data.schema[k] for k in keys), T.StructField("tid", T.IntegerType())])
     groups = spark.createDataFrame([(*row[:-1], i) for i, row in enumerate(heavy)], schema)
@@ -292,22 +317,32 @@ def grouped_quantile(df: DataFrame, keys: Sequence[str], name: str, prob: float,
     results = [(*heavy[i][:-1], _between(targets[i], *places[i])) for i in range(len(heavy))]
     out_schema = T.StructType([*(data.schema[k] for k in keys), T.StructField(out, T.DoubleType())])
     light = plain(data.join(F.broadcast(groups), keys, "left_anti"))
-    return light.unionByName(spark.createDataFrame(results, out_schema))
-
-
-def most_frequent(df: DataFrame, name: str):
-    """The most frequent value, the smallest on ties; None for a column without values."""
-    value = clean(df, name)
-    row = (
-        df.select(value.alias("v"))
-        .filter(F.col("v").isNotNull())
-        .groupBy("v")
-        .count()
-        .orderBy(F.desc("count"), F.asc("v"))
-        .limit(1)
-        .collect()
-    )
-    return row[0]["v"] if row else None
+    return told(light.unionByName(spark.createDataFrame(results, out_schema)))
+
+
+def most_frequent(df: DataFrame, names: Sequence[str]) -> dict[str, object]:
+    """The most frequent value of each column, the smallest on ties; None for a column without values.
+
+    The values of all columns travel as (column, value) in one pass, so frequent ones merge before the shuffle. A
+    value takes the field of its own type, and one struct field per type keeps types apart.
+    """
+    if not names:
+        return {}
+    kinds = sorted({df.schema[c].dataType.simpleString() for c in names})
+    cells = []
+    for i, c in enumerate(names):
+        value, own = clean(df, c), df.schema[c].dataType.simpleString()
+        fields = [(value if k == own else F.lit(None).cast(k)).alias(f"v{j}") for j, k in enumerate(kinds)]
+        cells.append(F.when(value.isNotNull(), F.struct(F.lit(i).alias("seq"), *fields)))
+    values = df.select(F.inline(F.array(*cells))).filter(F.col("seq").isNotNull())
+    columns = [f"v{j}" for j in range(len(kinds))]
+    counts = values.groupBy("seq", *columns).agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("seq").agg(F.min(F.struct((-F.col("n")).alias("o"), *columns)).alias("best")).collect()
+    found = dict.fromkeys(names)
+    for row in best:
+        name = names[row["seq"]]
+        found[name] = row["best"][f"v{kinds.index(df.schema[name].dataType.simpleString())}"]
+    return found
 
 
 @dataclass

@@ -111,6 +111,10 @@ def test_roles(spark):
     assert R.detect_date_column(df.select("name", "n")) is None
     typed = df.withColumn("at", F.to_timestamp("day"))
     assert R.detect_date_column(typed.select("name", "at", "day")) == "at"
+    late = spark.createDataFrame([(f"01/{k % 28 + 1:02d}/2024" if k < 150 else "no date", f"{k % 28 + 1:02d}.", f"{k % 12 + 1:02d}/28/1999") for k in range(300)], "a string, b string, c string")
+    assert R.detect_date(late) == ("c", "MM/dd/yyyy")
+    assert R.with_dates(late, "c").schema["c"].dataType.simpleString() == "timestamp_ntz"
+    assert R.with_dates(late, "a").schema["a"].dataType.simpleString() == "string"
     catalog = Catalog((Metric("Revenue", "revenue"), Metric("Gone", "gone")), ("name", "nowhere"), "missing")
     found = R.resolve_schema(df, catalog)
     assert (found.numeric, found.categorical, found.date) == (("revenue",), ("name",), "day")
@@ -123,6 +127,9 @@ def test_roles(spark):
     [
         ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", ["2024-01-02 03:04:05", "2024-01-02 03:04:05.6"], ["2024-01-02", "x"]),
         ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", ["2024-01-02T03:04:05"], ["2024-01-02 03:04:05"]),
+        ("MM/dd/yyyy hh:mm[:ss] a", ["01/02/2024 03:04 PM", "01/02/2024 03:04:05 am"], ["01/02/2024 03:04"]),
+        ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX", ["2024-01-02T03:04:05Z", "2024-01-02T03:04:05.1+02:00"], ["2024-01-02T03:04:05"]),
+        ("yyyyMMdd", ["20240102"], ["2024-01-02"]),
         ("MMM d, yyyy", ["Jan 2, 2024", "Jan 12, 2024"], ["1 2, 2024"]),
     ],
 )

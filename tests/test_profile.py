@@ -68,6 +68,8 @@ def test_quality_score_and_bands(spark, rows):
     assert got["band"] == "good"
     scores = spark.createDataFrame([(90.0,), (89.9,), (70.0,), (69.9,)], "overall double")
     assert [r[1] for r in rows(P.quality_band(scores))] == ["excellent", "good", "good", "poor"]
+    hollow = spark.createDataFrame([(1, None), (2, None)], "a int, b string")
+    assert P.quality_score(hollow).first()["consistency"] == 95
     wide = spark.createDataFrame([tuple("1" * 25)], ", ".join(f"c{i} string" for i in range(25)))
     assert P.quality_score(wide).first()["consistency"] == 0
 

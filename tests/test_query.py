@@ -59,7 +59,7 @@ def test_breakdown_and_pivot(spark, rows):
 @pytest.mark.parametrize(
     "value, text",
     [
-        (None, "N/A"), (float("nan"), "N/A"), (0.0, "0.00"), (999.994, "999.99"), (1000.0, "1.00K"), (-1500.0, "-1.50K"),
+        (None, "N/A"), (float("nan"), "N/A"), (0.0, "0.00"), (999.994, "999.99"), (999.999, "1,000.00"), (-999.996, "-1,000.00"), (999999.999, "1000.00K"), (1000.0, "1.00K"), (-1500.0, "-1.50K"),
         (2.5e6, "2.50M"), (7.891e9, "7.89B"), (3125.0, "3.12K"), (2.675, "2.67"), (0.125, "0.12"), (1.005, "1.00"), (-0.5, "-0.50"),
     ],
 )

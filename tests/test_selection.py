@@ -132,8 +132,50 @@ def test_rank_cuts_do_not_depend_on_the_layout(spark):
 
 def test_most_frequent_takes_the_smallest_on_ties(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,), (None,), (None,)], "x string")
-    assert sel.most_frequent(df, "x") == "a"
-    assert sel.most_frequent(df.filter("x is null"), "x") is None
+    assert sel.most_frequent(df, ["x"]) == {"x": "a"}
+    assert sel.most_frequent(df.filter("x is null"), ["x"]) == {"x": None}
+    day = datetime.date(2024, 2, 3)
+    mixed = spark.createDataFrame([("b", 2, 1.5, day), ("b", 3, float("nan"), day), (None, 3, 2.5, None)], "s string, n int, x double, d date")
+    assert sel.most_frequent(mixed, ["s", "n", "x", "d"]) == {"s": "b", "n": 3, "x": 1.5, "d": day}
+    assert sel.most_frequent(mixed, []) == {}
+
+
+@pytest.mark.parametrize("shift", [-0.3, -0.02, 0.02, 0.3])
+def test_a_shifted_sketch_is_recovered_from(shift):
+    """A source whose sketches lie beside the truth: the counts must still lead to the right row."""
+    values = np.sort(np.random.default_rng(3).normal(size=400_000))
+    passes = []
+
+    class Source:
+        def sketch(self, targets):
+            out = {}
+            for t, g in targets.items():
+                own = values[(values > (g.lo if g.lo is not None else -np.inf)) & (values < (g.hi if g.hi is not None else np.inf))]
+                places = np.clip((np.linspace(0, 1, sel.GRID + 1) + shift) * (len(own) - 1), 0, len(own) - 1).astype(int)
+                out[t] = own[places]
+            passes.append(1)
+            return out
+
+        def count(self, targets):
+            edge = lambda v, side, none: none if v is None else int(np.searchsorted(values, v, side))
+            return {
+                t: (edge(g.lo, "left", 0), edge(g.lo, "right", 0), edge(g.hi, "left", g.n), edge(g.hi, "right", g.n))
+                for t, g in targets.items()
+            }
+
+    for rank in (0, 1, 1000, 200_000, 399_998):
+        target = sel.Target(len(values), (rank, rank + 1))
+        passes.clear()
+        busy = {"t": target}
+        while any(g.open and g.inside > sel.FINAL_ROWS for g in busy.values()):
+            target.narrow(Source().sketch(busy)["t"])
+            target.check(*Source().count(busy)["t"])
+            assert len(passes) < 40
+        lo = -np.inf if target.lo is None else target.lo
+        hi = np.inf if target.hi is None else target.hi
+        for r in target.open:
+            assert lo < values[r] < hi and target.below <= r < target.below + target.inside
+            assert target.below == np.searchsorted(values, lo, "right")
 
 
 def test_number_rows_and_blocked_windows(spark, monkeypatch):

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.functions import humanize
+from tallyglass.operators import clean as C
+from tallyglass.operators import forecast as FC
 from tallyglass.operators import insights as I
 from tallyglass.operators import profile as P
 from tallyglass.operators import query as Q
@@ -176,3 +178,39 @@ add(
     """SELECT 'Value' AS name, 'value' AS "column", 'sum' AS aggregation, 'number' AS format, count(value) AS n FROM events
       UNION ALL SELECT 'user_id', 'user_id', 'avg', 'number', count(user_id) FROM events""",
 )
+
+# The frame of the wave fit; its numbers have no SQL form.
+add(
+    "forecast_fourier_frame",
+    lambda s, d: FC.forecast_fourier(V.events(s, d), "ts", "value", periods=12, by=["event_type"], step="week").select("event_type", "ds", "y", "is_future"),
+    """WITH days AS (SELECT event_type, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS ds, sum(value) AS y FROM events GROUP BY 1, 2)
+      SELECT event_type, ds, y, FALSE AS is_future FROM days UNION ALL
+      SELECT event_type, max(ds) + INTERVAL 7 DAY * k, NULL, TRUE FROM days, range(1, 13) r(k) GROUP BY event_type, k""",
+    {"y": 3},
+)
+add(
+    "forecast_monthly_steps",
+    lambda s, d: FC.forecast(V.events(s, d), "ts", "value", periods=5, by=["event_type"], step="month").filter("is_future").select("event_type", "ds"),
+    """SELECT event_type, CAST(date_trunc('month', max(CAST(ts AS DATE))) + INTERVAL 1 MONTH * k AS DATE) AS ds
+      FROM events, range(1, 6) r(k) GROUP BY event_type, k""",
+)
+SPELLINGS = {
+    "minutes": ("yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M"),
+    "zoned": ("yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%S"),
+    "named": ("d MMM yyyy", "%Y-%m-%d"),
+    "halves": ("MM/dd/yyyy hh:mm a", "%Y-%m-%d %H:%M"),
+}
+
+
+def _spelt(s: SparkSession, d: str) -> DataFrame:
+    texts = [F.date_format("ts", f).alias(c) for c, (f, _) in SPELLINGS.items()]
+    return C.promote_timestamp(V.events(s, d).select("event_id", *texts))
+
+
+add(
+    "promote_timestamp_formats",
+    _spelt,
+    "SELECT event_id, "
+    + ", ".join(f"strptime(strftime(ts, '{f}'), '{f}') AS {c}" for c, (_, f) in SPELLINGS.items())
+    + " FROM events",
+)
