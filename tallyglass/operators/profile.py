@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tallyglass.functions.columns import clean, is_above, is_below, sample_kurtosis, sample_skewness
 from tallyglass.operators.clean import number_text_columns
@@ -246,7 +247,7 @@ def quick_stats(df: DataFrame, date_col: str | None = None) -> DataFrame:
 def table_context(df: DataFrame, max_categories: int = 10, date_col: str | None = None) -> DataFrame:
     """Per column: missing share, range and mean of numbers, first categories of text, date range.
 
-    The listed categories are the smallest ones, kept as a bounded top-n of the distinct values.
+    The listed categories are the `max_categories` smallest ones, a top-n of the distinct values.
     """
     none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
     numbers, names = numeric_columns(df), categorical_columns(df)
@@ -266,16 +267,12 @@ def table_context(df: DataFrame, max_categories: int = 10, date_col: str | None
             "range_end": F.max(c).cast("string") if is_date else text,
         }
     context = per_column(dated, cells)
-    smallest = [
-        df.select(F.col(f"`{c}`").alias("category"))
-        .filter(F.col("category").isNotNull())
-        .distinct()
-        .orderBy("category")
-        .limit(max_categories)
-        .groupBy(F.lit(c).alias("name"))
-        .agg(F.array_sort(F.collect_list("category")).alias("categories"))
-        for c in names
-    ]
-    if not smallest:
+    if not names:
         return context.withColumn("categories", F.lit(None).cast("array<string>"))
-    return context.join(reduce(DataFrame.unionByName, smallest), "name", "left")
+    # All text columns in one pass, as (column, value); the cut is taken before the shuffle as well as after it.
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("category")) for c in names])
+    values = df.select(F.inline(cells)).filter(F.col("category").isNotNull()).distinct()
+    first = Window.partitionBy("name").orderBy("category")
+    smallest = values.withColumn("__place", F.row_number().over(first)).filter(F.col("__place") <= max_categories)
+    listed = smallest.groupBy("name").agg(F.array_sort(F.collect_list("category")).alias("categories"))
+    return context.join(listed, "name", "left")

@@ -2,7 +2,46 @@
 
 from __future__ import annotations
 
-from tallyglass.operators import questions as Q
+# Fixed values, written out here so that the reference SQL stands on its own.
+SYNONYMS = {
+    "revenue": ["sales", "income", "amount"],
+    "profit": ["margin", "earnings", "gain"],
+    "cost": ["expense", "spending", "price"],
+    "quantity": ["count", "number", "volume", "qty"],
+    "date": ["time", "day", "period", "when"],
+    "category": ["type", "group", "segment", "class"],
+    "region": ["area", "location", "territory", "zone"],
+}
+
+INSIGHT_PATTERNS = {
+    "insight": r"\b(?:insights?|findings?|discover|analyze|tell me about|explain|why)\b",
+    "summary": r"\b(?:summary|overview|describe|summarize|recap)\b",
+    "key": r"\b(?:key|important|significant|main|critical)\b",
+}
+ANALYSIS_PATTERNS = {
+    "trend": r"\b(?:trends?|over time|time series|growth|change|evolution)\b(?:\s+of)?(?:\s+(\w+))?",
+    "correlation": r"\b(?:correlation|relationship|connection|link)\s+(?:between\s+)?(\w+)\s+(?:and|with)\s+(\w+)",
+    "distribution": r"\b(?:distribution|spread|histogram|breakdown)\s+(?:of\s+)?(\w+)",
+    "forecast": r"\b(?:forecast|predict|projection|future)\s+(?:of\s+)?(\w+)",
+    "anomaly": r"\b(?:anomal(?:y|ies)|outliers?|unusual|abnormal)\b(?:\s+in)?(?:\s+(\w+))?",
+}
+AGGREGATE_PATTERNS = {
+    "sum": r"\b(?:total|sum|aggregate|combined|overall)\s+(?:of\s+)?(\w+)",
+    "average": r"\b(?:average|mean|avg|typical)\s+(?:of\s+)?(\w+)",
+    "max": r"\b(?:max(?:imum)?|highest|largest|best|top|peak)\s+(\w+)",
+    "min": r"\b(?:min(?:imum)?|lowest|smallest|worst|bottom)\s+(\w+)",
+    "count": r"\b(?:count|number|how many|quantity)\b(?:\s+of)?(?:\s+(\w+))?",
+    "median": r"\b(?:median|middle)\s+(?:of\s+)?(\w+)",
+}
+BY_PATTERN = r"\b(?:by|per|for each|grouped by|across|segmented by)\s+(\w+)"
+COMPARE_PATTERN = r"\bcompare\s+(\w+)\s+(?:and|vs|versus|with|to)\s+(\w+)"
+WHERE_PATTERN = (
+    r"\b(?:where|when|if|for|in|with)\s+(\w+)\s*(?:\bis\b|==|=|\bequals?\b)\s*[\"']?"
+    r"([^\"']+?)[\"']?(?:\s+(?:by|per|for each|grouped by|across|segmented by)\s.*)?$"
+)
+TOP_PATTERN = r"\b(?:top|first|best)\s+(\d+)"
+BOTTOM_PATTERN = r"\b(?:bottom|last|worst)\s+(\d+)"
+RANKED_PATTERN = r"\b(?:top|first|best|bottom|last|worst)\s+\d+\s+(\w+)"
 
 SALES = """sales AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate AS date, l_extendedprice AS sales,
@@ -83,7 +122,7 @@ def find_column(term: str, columns) -> str:
     for c in columns:
         words = ", ".join(quoted(w) for w in c.lower().replace("_", " ").split())
         rules.append(f"WHEN {word} IN ({words}) THEN {quoted(c)}")
-    for key, listed in Q.SYNONYMS.items():
+    for key, listed in SYNONYMS.items():
         hit = next((c for c in columns if key in c.lower()), None)
         if hit:
             rules.append(f"WHEN {word} IN ({', '.join(quoted(w) for w in listed)}) THEN {quoted(hit)}")
@@ -101,20 +140,20 @@ def group(text: str, pattern: str, index: int = 1) -> str:
 def tag_questions(source: str, keys: str, columns) -> str:
     q = "lower(text)"
     first = lambda patterns, make: "CASE " + " ".join(f"WHEN {matches(q, p)} THEN {make(n, p)}" for n, p in patterns.items()) + " END"
-    insight = " OR ".join(matches(q, p) for p in Q.INSIGHT_PATTERNS.values())
+    insight = " OR ".join(matches(q, p) for p in INSIGHT_PATTERNS.values())
     return f"""tagged AS (
       SELECT {keys}, text, {insight} AS insight,
-        {first(Q.ANALYSIS_PATTERNS, lambda n, p: quoted(n))} AS analysis,
-        {first(Q.ANALYSIS_PATTERNS, lambda n, p: group(q, p))} AS analysis_term,
-        {first(Q.AGGREGATE_PATTERNS, lambda n, p: quoted(n))} AS agg,
-        {first(Q.AGGREGATE_PATTERNS, lambda n, p: group(q, p))} AS agg_term,
-        {matches(q, Q.COMPARE_PATTERN)} AS has_compare,
-        {group(q, Q.COMPARE_PATTERN)} AS compare1, {group(q, Q.COMPARE_PATTERN, 2)} AS compare2,
-        {group(q, Q.ANALYSIS_PATTERNS['correlation'], 2)} AS corr2,
-        {group(q, Q.BY_PATTERN)} AS by_term, {group(q, Q.RANKED_PATTERN)} AS ranked_term,
-        {group(q, Q.WHERE_PATTERN)} AS where_term, trim({group(q, Q.WHERE_PATTERN, 2)}) AS where_value,
-        try_cast({group(q, Q.TOP_PATTERN)} AS INTEGER) AS top_n,
-        try_cast({group(q, Q.BOTTOM_PATTERN)} AS INTEGER) AS bottom_n
+        {first(ANALYSIS_PATTERNS, lambda n, p: quoted(n))} AS analysis,
+        {first(ANALYSIS_PATTERNS, lambda n, p: group(q, p))} AS analysis_term,
+        {first(AGGREGATE_PATTERNS, lambda n, p: quoted(n))} AS agg,
+        {first(AGGREGATE_PATTERNS, lambda n, p: group(q, p))} AS agg_term,
+        {matches(q, COMPARE_PATTERN)} AS has_compare,
+        {group(q, COMPARE_PATTERN)} AS compare1, {group(q, COMPARE_PATTERN, 2)} AS compare2,
+        {group(q, ANALYSIS_PATTERNS['correlation'], 2)} AS corr2,
+        {group(q, BY_PATTERN)} AS by_term, {group(q, RANKED_PATTERN)} AS ranked_term,
+        {group(q, WHERE_PATTERN)} AS where_term, trim({group(q, WHERE_PATTERN, 2)}) AS where_value,
+        try_cast({group(q, TOP_PATTERN)} AS INTEGER) AS top_n,
+        try_cast({group(q, BOTTOM_PATTERN)} AS INTEGER) AS bottom_n
       FROM {source}),
     ruled AS (
       SELECT *, coalesce(bottom_n, top_n) AS row_limit,
