@@ -28,7 +28,8 @@ from tallyglass.llm.common import fold, small_batches, text_or_empty, texts
 
 SAMPLE = 12_000
 HIDDEN = 32
-ROUNDS = 90
+#: Steps of the optimiser, and rows of either kind in a step: alike for small and large samples.
+STEPS = 270
 BATCH = 4096
 RATE = 1e-2
 DECAY = 1e-4
@@ -127,35 +128,32 @@ def non_negative_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float,
         rng.normal(0, HIDDEN**-0.5, (HIDDEN, 1)).astype(np.float32),
         np.zeros(1, np.float32),
     ]
-    first, second, step = [np.zeros_like(w) for w in net.weights], [np.zeros_like(w) for w in net.weights], 0
-    batches = max(1, -(-max(len(p), len(u)) // BATCH))
-    for _ in range(ROUNDS):
-        order_p, order_u = rng.permutation(max(len(p), batches)) % len(p), rng.permutation(max(len(u), batches)) % len(u)
-        for k in range(batches):
-            x_p, x_u = p[order_p[k::batches]], u[order_u[k::batches]]
-            x = np.concatenate([x_p, x_u])
-            w1, b1, w2, b2 = net.weights
-            hidden = np.maximum(x @ w1 + b1, 0)
-            z = (hidden @ w2 + b2)[:, 0]
-            sigma = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            n_p = len(x_p)
-            as_negative = np.logaddexp(0, z)  # loss of calling a row negative
-            negative_risk = as_negative[n_p:].mean() - prior * as_negative[:n_p].mean()
-            slope = np.zeros_like(z)
-            slope[n_p:] = sigma[n_p:] / (len(z) - n_p)
-            slope[:n_p] = -prior * sigma[:n_p] / n_p
-            if negative_risk >= 0:
-                slope[:n_p] += prior * (sigma[:n_p] - 1) / n_p
-            else:
-                slope = -slope
-            back = (slope[:, None] @ w2.T) * (hidden > 0)
-            grads = [x.T @ back + DECAY * w1, back.sum(0), hidden.T @ slope[:, None] + DECAY * w2, np.array([slope.sum()])]
-            step += 1
-            for i, g in enumerate(grads):
-                first[i] = 0.9 * first[i] + 0.1 * g
-                second[i] = 0.999 * second[i] + 0.001 * g * g
-                move = RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-                net.weights[i] = (net.weights[i] - move).astype(np.float32)
+    first, second = [np.zeros_like(w) for w in net.weights], [np.zeros_like(w) for w in net.weights]
+    draw = lambda rows: rows if len(rows) <= BATCH else rows[rng.integers(0, len(rows), BATCH)]
+    for step in range(1, STEPS + 1):
+        x_p, x_u = draw(p), draw(u)
+        x = np.concatenate([x_p, x_u])
+        w1, b1, w2, b2 = net.weights
+        hidden = np.maximum(x @ w1 + b1, 0)
+        z = (hidden @ w2 + b2)[:, 0]
+        sigma = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        n_p = len(x_p)
+        as_negative = np.logaddexp(0, z)  # loss of calling a row negative
+        negative_risk = as_negative[n_p:].mean() - prior * as_negative[:n_p].mean()
+        slope = np.zeros_like(z)
+        slope[n_p:] = sigma[n_p:] / (len(z) - n_p)
+        slope[:n_p] = -prior * sigma[:n_p] / n_p
+        if negative_risk >= 0:
+            slope[:n_p] += prior * (sigma[:n_p] - 1) / n_p
+        else:
+            slope = -slope
+        back = (slope[:, None] @ w2.T) * (hidden > 0)
+        grads = [x.T @ back + DECAY * w1, back.sum(0), hidden.T @ slope[:, None] + DECAY * w2, np.array([slope.sum()])]
+        for i, g in enumerate(grads):
+            first[i] = 0.9 * first[i] + 0.1 * g
+            second[i] = 0.999 * second[i] + 0.001 * g * g
+            move = RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+            net.weights[i] = (net.weights[i] - move).astype(np.float32)
     return net
 
 
