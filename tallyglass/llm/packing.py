@@ -28,7 +28,7 @@ CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces ranked together; the number of buckets follows the number of pieces.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RUNS = "length long, first_rank long, n long, first_sequence long, per_sequence long, used long"
