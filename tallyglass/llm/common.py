@@ -39,3 +39,20 @@ def text_or_empty(column: str = "text"):
 def texts(frame, column: str = "text") -> Iterator[str]:
     """The texts of a pandas batch, missing ones as empty."""
     return (t if isinstance(t, str) else "" for t in frame[column])
+
+
+#: A key counts as hot from this part of all rows on, so there are at most as many hot keys.
+HOT_PART = 1000
+
+
+def join_spread(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """Join `rows` with one row for each key, without gathering a frequent key's rows in one task.
+
+    `keyed` says in `count` how many rows a key has. Keys with more than a thousandth of all rows are at most a
+    thousand: they are broadcast and joined where their rows lie. Only the other rows are shuffled.
+    """
+    edge = max(rows.count() // HOT_PART, 1)
+    hot = F.broadcast(keyed.filter(F.col(count) > edge).drop(count))
+    rest = keyed.filter(F.col(count) <= edge).drop(count)
+    spread = rows.join(hot, on, "left_semi" if how == "left_semi" else "inner")
+    return spread.unionByName(rows.join(hot.select(*on), on, "left_anti").join(rest, on, how))

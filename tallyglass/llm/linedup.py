@@ -8,7 +8,7 @@ by doc_id and place, stays and all others go.
 Only hashes and places of chunks travel at first; they are counted with map-side combining. Texts of chunks
 with a repeated hash are then compared byte by byte: their least and greatest bytes are aggregated, and only
 where both are the same is anything removed. A chunk that fills a third of the corpus is thus one row per
-task in either shuffle; joins back to the chunks are left to adaptive skew splitting.
+task in either shuffle, and the joins back to the chunks broadcast the few frequent ones.
 
 Defined cases: null texts stay null; empty texts and lines take no part; rows equal in doc_id and text count as
 one document and keep the same lines; null ids come last in the order; a text may become empty, its row stays;
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tallyglass.llm.common import small_batches, texts
+from tallyglass.llm.common import join_spread, small_batches, texts
 from tallyglass.plans.staging import stage
 
 #: Lines in the rolling hash; mean lines of a chunk; most lines of one.
@@ -114,8 +114,8 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
     """(__doc, __digest, chunk) of all occurrences but the first of chunks equal in their bytes."""
     asked = keyed.select(*KEY, F.col("text").alias("__text")).filter("__text is not null")
     places = stage(asked.mapInPandas(_places, PLACES), "chunks")
-    twice = places.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    candidates = _listed(places.join(twice, ["h1", "h2"], "left_semi"), "chunks")
+    twice = stage(places.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
+    candidates = _listed(join_spread(places, twice, ["h1", "h2"], "n", "left_semi"), "chunks")
     bodies = asked.join(candidates, KEY).mapInPandas(_bodies, CHUNK_TEXTS)
     same = (
         bodies.groupBy("h1", "h2")
@@ -123,11 +123,12 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
             F.min("body").alias("low"),
             F.max("body").alias("high"),
             F.min(F.struct(*KEY, "chunk")).alias("first"),
+            F.count("*").alias("n"),
         )
         .filter(F.col("low") == F.col("high"))
-        .select("h1", "h2", "first")
+        .select("h1", "h2", "first", "n")
     )
-    later = places.join(stage(same, "firsts"), ["h1", "h2"])
+    later = join_spread(places, stage(same, "firsts"), ["h1", "h2"], "n")
     return later.filter(F.struct(*KEY, "chunk") > F.col("first")).select(*KEY, "chunk")
 
 
