@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import small_batches, text_or_empty
+from tallyglass.llm.common import join_spread, small_batches, text_or_empty
 from tallyglass.plans.staging import new_path, stage
 
 #: Payloads below this size are always stored whole.
@@ -225,8 +225,8 @@ def frames(read) -> Iterator[bytes]:
 def classified(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest and, for records that revisit another, the page_id that they refer to.
 
-    Equal payloads are found by their digests; the least id is aggregated before the shuffle, and the join
-    back is left to adaptive splitting where one payload is very frequent.
+    Equal payloads are found by their digests; the least id is aggregated before the shuffle, and a payload
+    that is very frequent is joined where its rows lie.
     """
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -235,7 +235,7 @@ def classified(pages: DataFrame) -> DataFrame:
     ).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     large = F.octet_length("payload") >= LEAST_REVISIT
     least = own.filter(large).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
-    joined = own.join(least.filter("n > 1").select("digest", "least"), "digest", "left")
+    joined = join_spread(own, stage(least.filter("n > 1"), "payloads"), ["digest"], "n", "left")
     return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least"))).drop("least")
 
 
