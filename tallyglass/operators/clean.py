@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.functions.columns import clean, is_number_text, sample_skewness
-from tallyglass.plans.selection import exact_quantiles, most_frequent
+from tallyglass.plans.selection import exact_quantiles, most_frequent_of
 
 # Symbols removed from text cells.
 SYMBOLS = "[,₹%—]"
@@ -202,7 +202,7 @@ def _fill_plan(df: DataFrame, strategy: str, columns: Sequence[str] | None) -> l
         value.update(df.agg(*[F.avg(clean(df, c)).alias(c) for c in means]).first().asDict())
     medians = exact_quantiles(df, {c: [0.5] for c in holes if method[c] == "median"})
     value.update({c: v[0] for c, v in medians.items()})
-    value.update(most_frequent(df, [c for c in holes if method[c] == "mode"]))
+    value.update(most_frequent_of(df, [c for c in holes if method[c] == "mode"]))
     for c in holes:
         if method[c] == "mode":
             if value[c] is None and strategy == "auto" and isinstance(df.schema[c].dataType, T.StringType):

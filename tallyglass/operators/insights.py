@@ -83,7 +83,7 @@ def all_insights(
     def tests() -> DataFrame:
         if ttest:
             return ttest_insight(data, ttest[0], chosen["ttest"], ttest[1], alpha=t["ttest"])
-        tested = [ttest_insight(data, c, chosen["ttest"], alpha=t["ttest"]).withColumn("seq", F.col("seq") + i * len(numbers)) for i, c in enumerate(cats)]
+        tested = [ttest_insight(data, c, chosen["ttest"], "rest", alpha=t["ttest"]).withColumn("seq", F.col("seq") + i * len(numbers)) for i, c in enumerate(cats)]
         return reduce(DataFrame.unionByName, tested)
 
     def placed(rows: DataFrame, group: int, step: int = 1, shift: int = 0) -> DataFrame:

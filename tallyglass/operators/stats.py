@@ -426,14 +426,14 @@ def ttest_insight(
 ) -> DataFrame:
     """Metrics whose means differ between groups of a category beyond chance.
 
-    Without a category, all of them are tested. Two groups are compared where `groups` names them or
-    is "first two"; otherwise each member is compared with all other rows.
+    Without a category, all of them are tested, each member against all other rows; `groups="rest"` does so
+    for a named category. Otherwise two groups are compared: those named, or the first two in sorted order.
     """
     names = _default_metrics(df, metrics, max_metrics)
     cats = [category] if category else categorical_columns(df)
     parts = []
     for i, name in enumerate(cats):
-        if groups is None:
+        if groups == "rest" or groups is None and category is None:
             part = ttest_against_rest(df, name, names, min_n)
         else:
             part = ttest_measures(df, name, names, None if groups == "first two" else groups, min_n)

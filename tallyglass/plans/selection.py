@@ -320,7 +320,12 @@ def grouped_quantile(df: DataFrame, keys: Sequence[str], name: str, prob: float,
     return told(light.unionByName(spark.createDataFrame(results, out_schema)))
 
 
-def most_frequent(df: DataFrame, names: Sequence[str]) -> dict[str, object]:
+def most_frequent(df: DataFrame, name: str):
+    """The most frequent value, the smallest on ties; None for a column without values."""
+    return most_frequent_of(df, [name])[name]
+
+
+def most_frequent_of(df: DataFrame, names: Sequence[str]) -> dict[str, object]:
     """The most frequent value of each column, the smallest on ties; None for a column without values.
 
     The values of all columns travel as (column, value) in one pass, so frequent ones merge before the shuffle. A

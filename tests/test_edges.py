@@ -45,7 +45,7 @@ def test_constants_have_no_correlation(spark):
 def test_every_member_against_the_rest(spark):
     rows = [(g, float(v + shift)) for g, shift in (("a", 0), ("b", 0), ("c", 5)) for v in range(40)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r["group2"]: r for r in A.ttest_insight(df, "g", ["v"], alpha=1.1).collect()}
+    got = {r["group2"]: r for r in A.ttest_insight(df, "g", ["v"], "rest", alpha=1.1).collect()}
     assert set(got) == {"a", "b", "c"} and got["c"]["diff_pct"] > 0 and got["c"]["t"] < 0
     two = A.ttest_measures(df.withColumn("g", F.when(F.col("g") == "c", "c").otherwise("rest")), "g", ["v"]).first()
     assert abs(abs(got["c"]["t"]) - abs(two["t"])) < 1e-9

@@ -9,7 +9,6 @@ from tallyglass.operators import insights as I
 from tallyglass.operators import query as Q
 from tallyglass.operators import series as S
 from tallyglass.operators import stats as A
-from workload import queries_edges  # noqa: F401  (registers its queries)
 from workload import views as V
 from workload.queries import ORACLES, QUERIES
 

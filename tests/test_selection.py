@@ -132,12 +132,12 @@ def test_rank_cuts_do_not_depend_on_the_layout(spark):
 
 def test_most_frequent_takes_the_smallest_on_ties(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,), (None,), (None,)], "x string")
-    assert sel.most_frequent(df, ["x"]) == {"x": "a"}
-    assert sel.most_frequent(df.filter("x is null"), ["x"]) == {"x": None}
+    assert sel.most_frequent(df, "x") == "a"
+    assert sel.most_frequent(df.filter("x is null"), "x") is None
     day = datetime.date(2024, 2, 3)
     mixed = spark.createDataFrame([("b", 2, 1.5, day), ("b", 3, float("nan"), day), (None, 3, 2.5, None)], "s string, n int, x double, d date")
-    assert sel.most_frequent(mixed, ["s", "n", "x", "d"]) == {"s": "b", "n": 3, "x": 1.5, "d": day}
-    assert sel.most_frequent(mixed, []) == {}
+    assert sel.most_frequent_of(mixed, ["s", "n", "x", "d"]) == {"s": "b", "n": 3, "x": 1.5, "d": day}
+    assert sel.most_frequent_of(mixed, []) == {}
 
 
 @pytest.mark.parametrize("shift", [-0.3, -0.02, 0.02, 0.3])
