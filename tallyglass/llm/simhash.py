@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import narrow_rows, small_batches, text_or_empty, texts
+from tallyglass.llm.common import join_spread, narrow_rows, small_batches, text_or_empty, texts
 from tallyglass.llm.components import components
 from tallyglass.plans.staging import stage
 
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row: components of fingerprints within the radius."""
     spark = docs.sparkSession
     found = stage(fingerprints(docs), "fingerprints")
-    distinct = stage(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = stage(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     narrow_rows(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     forests = [bucket_links(rows, parts) for rows in buckets(distinct.select("fp"), limit)]
@@ -277,8 +277,8 @@ def near_duplicates(docs: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
     linked = distinct.join(rooted, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(least, "root").select("fp", "component_id")
-    groups = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return found.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    groups = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
+    return join_spread(found, stage(groups, "groups"), ["fp"], "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
