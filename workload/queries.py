@@ -152,7 +152,7 @@ add(
           'event_id,value' AS numeric_columns, 'segment,amount_text,pct_text,date_text,empty_col' AS categorical_columns,
           'ts' AS date_column, {DIRTY_MISSING} AS missing_cells,
           (count(*) * 8 - {DIRTY_MISSING}) * 100.0 / (count(*) * 8) * 0.4
-            + (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) * 100.0 / count(*) * 0.3 + 100 * 0.3 AS overall
+            + (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) * 100.0 / count(*) * 0.3 + 95 * 0.3 AS overall
         FROM dirty"""
     ),
     {"overall": 6},
