@@ -7,7 +7,7 @@ give each text finite coordinates, on which a one-versus-rest kernel ridge regre
 The kernel is linear in the presence vectors, so landmarks, whitening and regression fold into one matrix, and a
 batch of texts is scored by one product of its presence matrix with it.
 
-Learned from at most PER_LANGUAGE rows of a language, chosen by a hash of the id; what goes to the driver is a
+Learned from at most PER_LANGUAGE rows of each of MOST_LANGUAGES languages, chosen by a hash of the id; what goes to the driver is a
 bit vector of SLOTS bits for each. N-grams are hashed into SLOTS slots.
 
 Defined cases: a null text or one without letters is `und` with score 0, as is every text where nothing was
@@ -26,10 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.llm.common import fold, small_batches, text_or_empty, texts
+from tallyglass.llm.sampling import place, threshold
 
 LONGEST = 3
 SLOTS = 1 << 15
 PER_LANGUAGE = 500
+#: Languages that can be learned, the most frequent ones.
+MOST_LANGUAGES = 500
 LANDMARKS = 240
 RIDGE = 1e-2
 SHARPNESS = 4.0
@@ -122,10 +125,18 @@ def train(docs: DataFrame, learn=None) -> Model | None:
     own = docs.select("doc_id", F.col("lang").alias("language"), "text").filter(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & learn
     )
-    # The first rows of each language in the order of a hash; the cut is taken before the shuffle as well.
-    first = Window.partitionBy("language").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = own.select("doc_id", "language").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= PER_LANGUAGE)
-    chosen = chosen.select("doc_id", "language").distinct()
+    # Few more ids than wanted pass the threshold of their language, so the cut of a language sees no more than that.
+    common = own.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MOST_LANGUAGES)
+    first = Window.partitionBy("language").orderBy(place(), "doc_id")
+    chosen = (
+        own.select("doc_id", "language")
+        .join(F.broadcast(common), "language")
+        .filter(place() < threshold(PER_LANGUAGE, F.col("count")))
+        .withColumn("rank", F.row_number().over(first))
+        .filter(F.col("rank") <= PER_LANGUAGE)
+        .select("doc_id", "language")
+        .distinct()
+    )
 
     def run(batches):
         for batch in batches:
