@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.llm.common import fold, small_batches, text_or_empty, texts
+from tallyglass.llm.sampling import place, threshold
 
 SAMPLE = 12_000
 HIDDEN = 32
@@ -194,9 +195,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn=None)
     marked = own.select("doc_id").distinct().join(marks, "doc_id", "left")
     kind = F.when(F.col("quality") == 1, 1).when(F.col("quality").isNull(), 0)
     marked = marked.select("doc_id", kind.alias("kind")).filter("kind is not null")
-    chosen = None
+    # Few more ids than wanted pass the threshold of their kind, so the cut sees no more whatever the table's size.
+    counts, chosen = {r["kind"]: r["count"] for r in marked.groupBy("kind").count().collect()}, None
     for k in (1, 0):
-        some = marked.filter(F.col("kind") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        some = marked.filter((F.col("kind") == k) & (place() < threshold(sample, F.lit(max(counts.get(k, 0), 1)))))
+        some = some.orderBy(place(), "doc_id").limit(sample)
         chosen = some if chosen is None else chosen.union(some)
     # At most 2 * sample ids: a bound of the operator, so they may be sent to every task.
     found = _featured(own.join(F.broadcast(chosen), "doc_id")).collect()
