@@ -2,8 +2,13 @@
 
 A text is cut into chunks of lines where a rolling hash over the hashes of the last lines hits a mark, so a
 passage shared by two texts is cut alike in both, wherever it stands. Chunks of at least MIN_LINES lines with
-content (or one line of at least LONG_LINE words, itself a passage) take part. Of equal chunks the first one,
-by doc_id and place, stays and all others go.
+content (or one line of at least LONG_LINE words, itself a passage) take part.
+
+The ends of a passage depend on its neighbours, so the shortest runs of at least LONG_LINE words from and up to every
+line take part as chunks too, at most two for a line. They depend on nothing outside themselves and cover every passage
+of that many words, so all of a passage of whole lines is found, whatever stands around it. Of equal chunks the
+first one, by doc_id and place, stays and all others go; where a chunk overlaps its own repeat, as in a line said over
+and over, the lines of the first stay.
 
 Only hashes and places of chunks travel at first; they are counted with map-side combining. Texts of chunks
 with a repeated hash are then compared byte by byte: their least and greatest bytes are aggregated, and only
@@ -64,18 +69,59 @@ def takes_part(lines: list[str]) -> bool:
     return filled >= MIN_LINES or filled == 1 and any(len(line.split()) >= LONG_LINE for line in lines)
 
 
+def passages(lines: list[str]) -> set[tuple[int, int]]:
+    """(first, end) of the shortest runs of LONG_LINE words from and up to each line with content.
+
+    They cover every run of at least as many words between two lines with content: a line with too few words behind
+    it lies in the run up to the last one. Empty lines between two lines that are passages of their own go with them.
+    """
+    counts = [len(line.split()) for line in lines]
+    filled = [i for i, n in enumerate(counts) if n]
+    spans, behind, words = set(), 0, 0
+    for i in filled:
+        while words < LONG_LINE and behind < len(filled):
+            words += counts[filled[behind]]
+            behind += 1
+        if words >= LONG_LINE:
+            spans.add((i, filled[behind - 1] + 1))
+        words -= counts[i]
+    first, words = 0, 0
+    for i in filled:
+        words += counts[i]
+        while words - counts[filled[first]] >= LONG_LINE:
+            words -= counts[filled[first]]
+            first += 1
+        if words >= LONG_LINE:
+            spans.add((filled[first], i + 1))
+    spans.update((a, b + 1) for a, b in zip(filled, filled[1:], strict=False) if b > a + 1 and min(counts[a], counts[b]) >= LONG_LINE)
+    return spans
+
+
+def spans_of(lines: list[str]) -> list[tuple[int, int]]:
+    """(first, end) of every chunk that takes part, each once, in the order of the text."""
+    return sorted({(a, b) for a, b in line_chunks(lines) if takes_part(lines[a:b])} | passages(lines))
+
+
 def text_chunks(text: str):
     """(number, lines) of every chunk that takes part."""
     lines = text.split("\n")
-    for k, (a, b) in enumerate(line_chunks(lines)):
-        if takes_part(lines[a:b]):
-            yield k, lines[a:b]
+    for k, (a, b) in enumerate(spans_of(lines)):
+        yield k, lines[a:b]
 
 
 def without(text: str, chunks) -> str:
-    """The text without the chunks of these numbers."""
+    """The text without the chunks of these numbers; lines that a chunk shares with its own first occurrence stay."""
     lines, gone = text.split("\n"), set(chunks)
-    return "\n".join(line for k, (a, b) in enumerate(line_chunks(lines)) if k not in gone for line in lines[a:b])
+    if not gone:
+        return text
+    spans = spans_of(lines)
+    firsts = {tuple(lines[a:b]): (a, b) for k, (a, b) in enumerate(spans) if k not in gone}
+    cut = set()
+    for k in gone:
+        a, b = spans[k]
+        kept = range(*firsts.get(tuple(lines[a:b]), (0, 0)))
+        cut.update(i for i in range(a, b) if i not in kept)
+    return "\n".join(line for i, line in enumerate(lines) if i not in cut)
 
 
 def _hashed(body: str) -> tuple[int, int]:
@@ -133,7 +179,10 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
 
 
 def remove_repeated(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """`docs` with later occurrences of repeated chunks cut out of `text`; with counts, also `removed_chunks`."""
+    """`docs` with later occurrences of repeated chunks cut out of `text`; with counts, also `removed_chunks`.
+
+    Chunks may overlap, and each counts.
+    """
     small_batches(docs.sparkSession)
     last = F.lit((1 << 63) - 1)
     keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), last), "__digest": F.xxhash64("text")})

@@ -90,3 +90,44 @@ def test_chunks_cover_the_lines(lines):
 @pytest.mark.parametrize("text", ["", "x" * 300_000, "y\n" * 20_000])
 def test_long_texts(text):
     assert linedup.without(text, []) == text
+
+
+def due(rows):
+    """Lines, by document, in a run of at least 50 words that stands earlier too: brute force over all runs of lines."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        lines, gone, own = text.split("\n"), set(), []
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = tuple(lines[a:b])
+                if sum(len(x.split()) for x in run) >= 50 and lines[a].strip() and lines[b - 1].strip():
+                    gone |= set(range(a, b)) if run in seen else set()
+                    own.append(run)
+        seen.update(own)
+        out[i] = gone
+    return out
+
+
+def test_whole_line_passages_go_between_any_neighbours(documents):
+    rng = random.Random(7)
+    words = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for lines in (1, 2, 3, 4, 5, 6, 9):
+        for gaps in (False, True):
+            each = -(-54 // lines) if lines % 2 else 60
+            passage = [words(each + rng.randrange(3)) for _ in range(lines)]
+            passage = [x for line in passage for x in (line, "")][:-1] if gaps else passage
+            for _ in range(4):
+                before, after = [words(rng.randrange(2, 9)) for _ in range(3)], [words(rng.randrange(2, 9)) for _ in range(2)]
+                rows.append((len(rows), "\n".join([*before, *passage, *after])))
+    gone = due(rows)
+    assert sum(map(len, gone.values())) > 200
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
+    assert {r["doc_id"]: r["text"] for r in linedup.remove_repeated(documents(*rows)).collect()} == want
+
+
+def test_a_passage_that_overlaps_itself_keeps_its_first(documents):
+    rows = [(1, "a b\nc\n" * 60), (2, "x\n" + "a b\nc\n" * 60)]
+    got = {r["doc_id"]: r["text"] for r in linedup.remove_repeated(documents(*rows)).collect()}
+    assert 50 <= len(got[1].split()) < 60
+    assert got[2].split() == ["x"]
