@@ -7,6 +7,10 @@ word and moves on or stays by a random bit of step and word, so few edits become
 WALKS walks with TABLES samples of SAMPLED places each are hashed; a window that meets an item in any table is
 verified by its exact edit distance. The miss rate of one table is raised to the power WALKS * TABLES.
 
+Places agree less the more edits there are, so sampling would miss passages near the limit of long items. Items of
+more than LONG_ITEM words therefore take no part in it: every window that the pair test leaves, made again with the
+item's own pairs, is settled by its exact edit distance.
+
 The benchmark is read in blocks of bounded size, so what goes to the tasks does not grow with it; each block
 is one pass over the texts, and nothing is shuffled.
 
@@ -32,6 +36,8 @@ WALKS = 8
 TABLES = 8
 SAMPLED = 3
 SEED = 17
+#: Items of more words are verified wherever the pair test allows, without sampling.
+LONG_ITEM = 55
 BATCH_TEXTS = 512
 #: Characters of benchmark text in one block, and windows handled at a time.
 BLOCK_CHARS = 4_000_000
@@ -92,6 +98,30 @@ def edit_distances(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: n
     return out
 
 
+def word_masks(item: np.ndarray) -> dict[int, int]:
+    """The places of each word of an item, as bits."""
+    out: dict[int, int] = {}
+    for place, word in enumerate(item.tolist()):
+        out[word] = out.get(word, 0) | 1 << place
+    return out
+
+
+def masked_distance(masks: dict[int, int], n: int, window: list[int]) -> int:
+    """The exact edit distance of an item of n words, given as masks, to a window: Myers' bit vectors (1999)."""
+    full, top = (1 << n) - 1, 1 << n - 1
+    plus, minus, score = full, 0, n
+    for word in window:
+        equal = masks.get(word, 0)
+        down = equal | minus
+        across = ((equal & plus) + plus ^ plus) | equal
+        more = minus | full & ~(across | plus)
+        less = plus & across
+        score += (1 if more & top else 0) - (1 if less & top else 0)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        plus, minus = less | full & ~(down | more), more & down
+    return score
+
+
 def walk_coins(longest: int) -> list[np.ndarray]:
     """The random bits of each walk: an odd multiplier for every step, over three times the longest item."""
     return [np.random.default_rng((SEED, walk)).integers(1, 1 << 62, 3 * longest, np.uint64) * np.uint64(2) + np.uint64(1) for walk in range(WALKS)]
@@ -107,11 +137,12 @@ class Length:
         self.pairs = np.zeros(1 << PAIR_BITS, bool)
         for row in self.items:
             self.pairs[_pair_slots(row)] = True
+        self.long = n > LONG_ITEM
         rng = np.random.default_rng((SEED, WALKS, n))
         # A walk takes two steps a word on average; places behind that mostly hold the end for any text.
         self.samples = rng.integers(0, 2 * n, (WALKS, TABLES, SAMPLED))
         self.salts = rng.integers(1, 1 << 62, (WALKS, TABLES), np.uint64)
-        self.keys = self.owners = None
+        self.keys = self.owners = self.masks = None
 
     def prepare(self, coins: list[np.ndarray]) -> None:
         sizes = np.full(len(self.items), self.n)
@@ -152,7 +183,7 @@ class Index:
         for number, words in sorted(split, key=lambda x: (len(x[1]), x[0])):
             by_length.setdefault(len(words), []).append((number, [self.ids[w] for w in words]))
         self.lengths = [Length(n, rows) for n, rows in by_length.items()]
-        self.longest = max(by_length, default=0)
+        self.longest = max((n for n in by_length if n <= LONG_ITEM), default=0)
         self.pairs = np.zeros(1 << PAIR_BITS, bool)
         for length in self.lengths:
             self.pairs |= length.pairs
@@ -164,7 +195,10 @@ class Index:
         if not self.ready:
             self.coins = walk_coins(self.longest)
             for length in self.lengths:
-                length.prepare(self.coins)
+                if length.long:
+                    length.masks = [word_masks(item) for item in length.items]
+                else:
+                    length.prepare(self.coins)
             self.ready = True
 
     def word_ids(self, text: str) -> np.ndarray:
@@ -204,10 +238,15 @@ class Index:
                     some = starts[at : at + SLICE]
                     # the same test against the pairs of items of this length alone
                     some = some[length.pairs[slots[some[:, None] + np.arange(n - 1)]].sum(1) >= need]
-                    if len(some):
+                    if len(some) and length.long:
+                        self._settle(length, some, n, words, slots, owner, firsts, best)
+                    elif len(some):
                         asked.append((length, some, n))
             for t in np.flatnonzero((lengths_of < n) & (lengths_of >= n - k)):
-                asked.append((length, firsts[t : t + 1], int(lengths_of[t])))
+                if length.long:
+                    self._settle(length, firsts[t : t + 1], int(lengths_of[t]), words, slots, owner, firsts, best)
+                else:
+                    asked.append((length, firsts[t : t + 1], int(lengths_of[t])))
         while asked:
             size = np.cumsum([len(starts) for _, starts, _ in asked])
             together = max(1, int(np.searchsorted(size, SLICE, "right")))
@@ -215,6 +254,36 @@ class Index:
             asked = asked[together:]
         return [(t, i, d, n, p) for (t, i), (d, p, n) in sorted(best.items())]
 
+    def _settle(self, length, starts, size, words, slots, owner, firsts, best) -> None:
+        """Find the best of the windows of `size` words from ascending starts for each item of a long length.
+
+        Windows t words apart differ by at most 2 t in distance, so those that cannot beat the bound are passed over.
+        """
+        n, k = length.n, edits_allowed(length.n)
+        inside = np.zeros(int(starts[-1] - starts[0]) + size - 1, bool)
+        for start in starts - starts[0]:
+            inside[start : start + size - 1] = True
+        cover = np.flatnonzero(inside)
+        own, at = slots[cover + starts[0]], np.searchsorted(cover, starts - starts[0])
+        held = np.zeros(1 << PAIR_BITS, bool)
+        for row, item in enumerate(length.items):
+            pairs = _pair_slots(item)
+            held[pairs] = True
+            known = np.concatenate(([0], np.cumsum(held[own])))
+            held[pairs] = False
+            ahead = 0
+            for start in starts[known[at + size - 1] - known[at] >= n - 1 - 2 * k].tolist():
+                text = int(owner[start])
+                key = text, length.numbers[row]
+                bound = min(k, best[key][0] - 1) if key in best else k
+                if start < ahead or bound < 0:
+                    continue
+                distance = masked_distance(length.masks[row], n, words[start : start + size].tolist())
+                if distance <= bound:
+                    best[key] = distance, start - int(firsts[text]), n
+                    bound = distance - 1
+                ahead = start + (distance - bound + 1) // 2
+
     def _verify(self, asked, words, owner, firsts, best) -> None:
         """Embed the windows of several lengths together; verify those that meet an item of their length."""
         starts = np.concatenate([s for _, s, _ in asked])

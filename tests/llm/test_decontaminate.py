@@ -114,3 +114,35 @@ def test_empty_tables_repeated_rows_and_clashing_columns(spark, documents):
     kept = dec.drop_contaminated(twice, frame(spark, bench).limit(0))
     assert kept.count() == 3 and kept.columns == twice.columns
     assert dec.contaminated(twice.limit(0), frame(spark, bench)).count() == 0
+
+
+def test_long_items_at_the_border():
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    for n, texts in ((56, 60), (120, 60), (250, 60), (500, 30)):
+        items = [(k, " ".join(rng.choice(vocabulary) for _ in range(n))) for k in range(10)]
+        items += [(10, items[0][1].replace(items[0][1].split()[3], "other"))]
+        index, k, asked = dec.Index(items), dec.edits_allowed(n), []
+        for t in range(texts):
+            around = [rng.choice(vocabulary) for _ in range(rng.randrange(20))]
+            words = edited(rng, items[t % 10][1].split(), k + rng.randrange(-1, 2))
+            asked.append(" ".join([*around, *words, *around]) if t % 5 else " ".join(words[: n - rng.randrange(3)]))
+        want = {}
+        for t, text in enumerate(asked):
+            ids = index.word_ids(text)
+            size = min(n, len(ids))
+            windows = np.stack([ids[s : s + size] for s in range(len(ids) - size + 1)])
+            for number, item in items:
+                own = np.repeat(index.word_ids(item)[None], len(windows), 0)
+                distances = dec.edit_distances(own, windows, np.full(len(windows), n), np.full(len(windows), size))
+                if distances.min() <= k:
+                    want[t, number] = int(distances.min()), int(distances.argmin())
+        assert len(want) > texts / 4
+        assert {(t, i): (d, p) for t, i, d, _, p in index.search(asked)} == want
+
+
+def test_masked_distances_are_exact():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = [[rng.randrange(1, 6) for _ in range(rng.randrange(1, 90))] for _ in range(2)]
+        assert dec.masked_distance(dec.word_masks(np.array(a)), len(a), b) == levenshtein(a, b)
