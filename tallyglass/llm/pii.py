@@ -11,7 +11,9 @@ The base kinds email, ip, card and phone follow the fixed forms below, leftmost
     card   [0-9]([\\x20-]?[0-9])+                      16 to 19 digits that pass the Luhn test
     phone  \\+[0-9][\\x20().0-9-]+[0-9]                 8 to 15 digits
 A match that fails its test is dropped and not tried again. The method adds web addresses (url), secrets after
-cues such as `password` (secret) and account numbers after cues such as `IBAN` (account).
+cues such as `password` (secret) and account numbers after cues such as `IBAN` (account). Words such as `number`,
+`no.` and `is` may stand between. An account number may be written in groups over single spaces or hyphens: an IBAN
+that passes its check ends where its country's length says, other numbers where the groups of digits end.
 
 Defined cases: null and empty texts hold nothing; repeated rows are reported alike; positions count code points;
 an empty table gives an empty result; further columns are ignored.
@@ -20,6 +22,7 @@ an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 
 import pandas as pd
@@ -30,8 +33,23 @@ from tallyglass.llm.common import small_batches, text_or_empty, texts
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "secret", "account")
-SECRET_CUES = ("password", "passwd", "token", "secret", "api_key", "apikey", "access_key")
+SECRET_CUES = ("password", "passwd", "token", "secret", "api_key", "api-key", "apikey", "access_key", "access-key")
+#: Spellings besides lower, title and upper case.
+MIXED_CUES = ("ApiKey", "apiKey", "AccessKey", "accessKey", "Api-key", "Api_key", "Access-key", "Access_key")
 ACCOUNT_CUES = ("iban", "account", "acct", "ssn", "passport", "routing")
+#: Length of an IBAN by country.
+IBAN = dict(
+    part.split(":")
+    for part in (
+        "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 EG:29 "
+        "ES:24 FI:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 "
+        "LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 "
+        "QA:29 RO:24 RS:22 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20"
+    ).split()
+)
+#: Digits of a first group, and of all groups, of a number written in groups.
+MOST_GROUP = 6
+MOST_DIGITS = 20
 LEAST_VALUE = 6
 MOST_GAP = 4
 
@@ -49,6 +67,8 @@ ADDRESS_TRIM = frozenset(".,;:!?)]")
 
 SCHEMA = ", ".join(["doc_id long", *(f"n_{k} long" for k in BASE), "base_sha256 string", "spans string"])
 
+_between = re.compile(r"""[ \t:=#"']{1,4}(?:numbers?|num|no|nr|is|was)\b\.?""", re.IGNORECASE)
+
 _automata: list = []
 
 
@@ -66,6 +86,8 @@ def automaton():
             for cue in cues:
                 for spelt in {cue, cue.title(), cue.upper()}:
                     made.add_word(spelt, (kind, len(spelt)))
+        for spelt in MIXED_CUES:
+            made.add_word(spelt, ("secret", len(spelt)))
         made.make_automaton()
         _automata.append(made)
     return _automata[0]
@@ -183,20 +205,55 @@ def web_addresses(text: str, schemes: list[int]):
         free = end
 
 
+def iban_end(text: str, start: int) -> int:
+    """The end of the IBAN that starts here, in groups or not, or 0 where none passes the check."""
+    length, held, at = int(IBAN.get(text[start : start + 2].upper(), 0)), [], start
+    while len(held) < length and at < len(text):
+        if text[at] in ALNUM:
+            held.append(text[at].upper())
+        elif text[at] not in CARD_GAP or text[at - 1] not in ALNUM:
+            return 0
+        at += 1
+    if not length or len(held) < length or at < len(text) and text[at] in ALNUM:
+        return 0
+    return at if int("".join(str(int(c, 36)) for c in held[4:] + held[:4])) % 97 == 1 else 0
+
+
+def grouped_end(text: str, start: int, end: int) -> int:
+    """The end of a number whose first run, up to `end`, may be followed by groups of digits over single spaces."""
+    first = re.split("-", text[start:end])
+    if not all(DIGITS.issuperset(g) and 0 < len(g) <= MOST_GROUP for g in first):
+        return end
+    digits, n = sum(map(len, first)), len(text)
+    while end + 1 < n and text[end] == " ":
+        stop = end + 1
+        while stop < n and text[stop] in VALUE:
+            stop += 1
+        group = text[end + 1 : stop]
+        if not (DIGITS.issuperset(group) and 2 <= len(group) <= MOST_GROUP and digits + len(group) <= MOST_DIGITS):
+            break
+        digits, end = digits + len(group), stop
+    return end
+
+
 def cued_values(text: str, cues: list[tuple[str, int, int]]):
-    """(kind, start, end) of values with a digit that stand right behind a cue word."""
+    """(kind, start, end) of values with a digit that stand behind a cue word, or words such as `number is` after it."""
     free, n = 0, len(text)
     for kind, begins, here in cues:
         if begins and text[begins - 1] in ALNUM or here < n and text[here] in ALNUM:
             continue
+        while filler := _between.match(text, here):
+            here = filler.end()
         start = here
         while start < n and start - here < MOST_GAP and text[start] in VALUE_GAP:
             start += 1
-        if start == here or start < free:
+        if start == here and text[start - 1] != "." or start < free:
             continue
         end = start
         while end < n and text[end] in VALUE:
             end += 1
+        if kind == "account":
+            end = iban_end(text, start) or grouped_end(text, start, end)
         if end - start >= LEAST_VALUE and not DIGITS.isdisjoint(text[start:end]):
             yield kind, start, end
         free = end

@@ -88,3 +88,24 @@ def test_against_the_patterns_on_given_texts(spark, data):
     for row in docs.select("doc_id", "text").collect():
         joined = ",".join(f"{k}:{a}:{b}" for k, a, b in plain(row["text"]))
         assert got[row["doc_id"]] == hashlib.sha256(joined.encode()).hexdigest()
+
+
+def test_values_in_groups_and_behind_words_between():
+    for text, kind, value in [
+        ("IBAN: DE89 3704 0044 0532 0130 00 by Friday", "account", "DE89 3704 0044 0532 0130 00"),
+        ("iban GB82-WEST-1234-5698-7654-32.", "account", "GB82-WEST-1234-5698-7654-32"),
+        ("Iban DE89370400440532013000 2024", "account", "DE89370400440532013000"),
+        ("account number: 12345678", "account", "12345678"),
+        ("passport no. X1234567", "account", "X1234567"),
+        ("Account No.12345678, then", "account", "12345678"),
+        ("SSN 123 45 6789 and 7", "account", "123 45 6789"),
+        ("acct 1234-5678 9012", "account", "1234-5678 9012"),
+        ("account 123456789 2024", "account", "123456789"),
+        ("password is abc123", "secret", "abc123"),
+        ("api-key: k4k4k4k4", "secret", "k4k4k4k4"),
+        ("ApiKey = k4k4k4k4", "secret", "k4k4k4k4"),
+    ]:
+        assert [(k, text[a:b]) for k, a, b in pii.find(text)] == [(kind, value)], text
+    for text in ["account 12 months", "IBAN: DE89", "account number is unknown", "password is required", "account no", "IBAN DE", "account nothing1"[:15]]:
+        assert pii.find(text) == [], text
+    assert pii.iban_end("DE88 3704 0044 0532 0130 00", 0) == 0
