@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyglass.llm import decontaminate, langid, licenses, linedup, packing, pii, quality, simhash, warc, winnow
+from tallyglass.llm import decontaminate, langid, licenses, linedup, packing, pii, quality, repair, simhash, sql, warc, winnow
 from tallyglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,14 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, folder, "pages"))
 
 
+@query
+def op11_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    return repair.repair(table(spark, folder, "conversations"))
+
+
+ORACLES["op11_repair"] = sql.REPAIR
+
 ORACLES["op10_warc"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 q AS (SELECT page_id, h, octet_length(encode(h)) AS n, min(page_id) OVER (PARTITION BY h) AS least FROM p)
