@@ -15,12 +15,13 @@ ONE_TASK_ROWS = 1_000_000
 BLOCK_ROWS = 200_000
 
 
-def number_rows(df: DataFrame, order_by: Sequence[str], out: str = "position") -> DataFrame:
+def number_rows(df: DataFrame, order_by: Sequence[str], out: str = "position", ties: Sequence[str] = ()) -> DataFrame:
     """Adds 0-based positions in order: one range shuffle, then an offset per partition.
 
-    The sorted rows are written before they are counted, so both reads see the same partitions.
+    The sorted rows are written before they are counted, so both reads see the same partitions. `ties` order rows that
+    are equal in `order_by`; they are too long to be sampled as range borders.
     """
-    ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by, *ties)
     numbered = stage(ranged.withColumn("__id", F.monotonically_increasing_id()), "numbered")
     slot = F.shiftright("__id", 33)
     offsets = numbered.groupBy(slot.alias("__slot")).agg(F.count(F.lit(1)).alias("__rows"))
