@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyglass.llm import decontaminate, langid, licenses, linedup, packing, pii, quality, repair, simhash, sql, warc, winnow
+from tallyglass.llm import decontaminate, langid, licenses, linedup, packing, pii, quality, repair, simhash, sql, trie, warc, winnow
 from tallyglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,15 @@ def op11_repair(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLES["op11_repair"] = sql.REPAIR
 
+
+@query
+def op13_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return trie.trie(table(spark, folder, "conversations"))
+
+
+ORACLES["op13_trie"] = sql.TRIE
+
 ORACLES["op10_warc"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 q AS (SELECT page_id, h, octet_length(encode(h)) AS n, min(page_id) OVER (PARTITION BY h) AS least FROM p)

@@ -82,3 +82,52 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c
 LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
 """
+
+TRIE = f"""
+WITH {_TABLE},
+own AS (
+  SELECT conv_id AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+),
+plan AS (
+  SELECT f.c, f.h, f.c - f.c % 5 AS giver, least(f.h, coalesce(g.n, 0)) AS taken
+  FROM (SELECT c, {_crc("CAST(c AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT c FROM own), crc_table) f
+  LEFT JOIN (SELECT c, count(*) AS n FROM own GROUP BY c) g ON g.c = f.c - f.c % 5
+),
+whole AS (
+  SELECT p.c, o.i, o.role, o.text FROM plan p JOIN own o ON o.c = p.giver AND o.i < p.taken
+  UNION ALL
+  SELECT p.c, o.i - p.h + p.taken, o.role, o.text FROM plan p JOIN own o ON o.c = p.c AND o.i >= p.h
+),
+chained AS (
+  SELECT c, i + 1 AS depth, octet_length(encode(text)) AS size,
+         array_to_string(list(sha256(length(role) || ':' || role || text)) OVER (PARTITION BY c ORDER BY i), '') AS path
+  FROM whole
+),
+member AS (
+  SELECT c, depth, size, sha256(path) AS path FROM chained
+  UNION ALL
+  SELECT c, 0, 0, '' FROM plan
+),
+node AS (SELECT depth, path, min(c) AS conv_id, count(*) AS n, max(size) AS size FROM member GROUP BY depth, path),
+line AS (SELECT m.c, n.depth, n.path, n.conv_id FROM member m JOIN node n USING (depth, path)),
+child AS (
+  SELECT n.*, u.conv_id AS parent FROM node n LEFT JOIN line u ON u.c = n.conv_id AND u.depth = n.depth - 1
+),
+kids AS (SELECT depth - 1 AS depth, parent AS conv_id, count(*) AS k FROM child WHERE depth > 0 GROUP BY ALL),
+valued AS (
+  SELECT n.*, coalesce(k, 0) AS k, CASE WHEN k IS NULL THEN 1 ELSE 0 END AS leaf, (n.n - 1) * n.size AS saving
+  FROM child n LEFT JOIN kids USING (depth, conv_id)
+),
+below AS (
+  SELECT a.depth, a.conv_id, sum(v.leaf) AS leaves, sum(v.saving) AS saved
+  FROM valued v JOIN line a ON a.c = v.conv_id AND a.depth <= v.depth GROUP BY ALL
+),
+ends AS (
+  SELECT l.depth, l.conv_id, string_agg(CAST(l.c AS VARCHAR), ',' ORDER BY l.c) AS ids
+  FROM line l JOIN (SELECT c, max(depth) AS depth FROM member GROUP BY c) USING (c, depth) GROUP BY ALL
+)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, v.parent AS parent_conv_id, v.n AS n_convs, v.k AS n_children,
+       CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM valued v JOIN below b USING (depth, conv_id) LEFT JOIN ends e USING (depth, conv_id)
+"""
