@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyglass.llm import decontaminate, langid, licenses, linedup, packing, pii, quality, repair, simhash, sql, trie, warc, winnow
+from tallyglass.llm import decontaminate, langid, licenses, linedup, packing, pii, quality, repair, simhash, sql, suffixes, trie, warc, winnow
 from tallyglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +90,17 @@ def op11_repair(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op11_repair"] = sql.REPAIR
 
 
+@query
+def op12_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document loses as strings of 200 bytes that start elsewhere too."""
+    cut = suffixes.remove_repeated(table(spark, folder, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op12_suffixes"] = sql.SUFFIXES
+
+
 @query
 def op13_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Every node of the prefix trie of the rebuilt conversations."""

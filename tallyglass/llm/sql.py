@@ -131,3 +131,19 @@ SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, v.parent AS parent_conv_id,
        CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM valued v JOIN below b USING (depth, conv_id) LEFT JOIN ends e USING (depth, conv_id)
 """
+
+SUFFIXES = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT k, p, md5(array_slice(b, p, p + 199)) AS h FROM (SELECT k, b, unnest(range(1, octet_length(b) - 198)) AS p FROM d)),
+again AS (SELECT k, p FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+marked AS (SELECT *, p - lag(p) OVER (PARTITION BY k ORDER BY p) AS gap FROM again),
+numbered AS (SELECT *, count(*) FILTER (gap IS NULL OR gap > 200) OVER (PARTITION BY k ORDER BY p) AS s FROM marked),
+span AS (SELECT k, s, min(p) AS a, max(p) + 199 AS z FROM numbered GROUP BY k, s),
+listed AS (SELECT k, count(*) AS n, sum(z - a + 1) AS removed, list(a ORDER BY a) AS firsts, list(z ORDER BY a) AS lasts FROM span GROUP BY k)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+       CASE WHEN n IS NULL THEN sha256(b)
+       ELSE sha256(unhex(array_to_string(list_transform(range(n + 1),
+         lambda i: hex(array_slice(b, CASE i WHEN 0 THEN 1 ELSE lasts[i] + 1 END, CASE i WHEN n THEN octet_length(b) ELSE firsts[i + 1] - 1 END))), '')))
+       END AS kept_sha256
+FROM d LEFT JOIN listed USING (k)
+"""

@@ -198,10 +198,11 @@ def trie(conversations: DataFrame, rebuild: bool = True) -> DataFrame:
     ids = own.select("c").distinct()
     sequence = rebuilt(own) if rebuild else own
     nodes, places = _grouped(stage(blocks(sequence), "linked"))
-    top = stage(ids.agg(F.min("c").alias("m"), F.count("*").alias("n")).filter("n > 0").select("m", F.lit(0).cast("long").alias("d"), "n", F.lit(0).cast("long").alias("size")), "top")
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    top = ids.agg(F.min("c").alias("m"), F.count("*").alias("n")).filter("n > 0").select("m", zero.alias("d"), "n", zero.alias("size"))
     nodes = stage(nodes.unionByName(top), "nodes")
-    roots = ids.join(F.broadcast(top.select("m", "d"))).select("c", "d", "m")
-    places = places.unionByName(roots)
+    smallest = F.lit(ids.agg(F.min("c")).first()[0]).cast("long")
+    places = places.unionByName(ids.select("c", zero.alias("d"), smallest.alias("m")))
     # where a conversation ends, and the deepest node on its path that isn't its own
     ranked = places.groupBy("c").agg(F.max(F.struct("d", "m")).alias("end"), F.max(F.when(F.col("m") != F.col("c"), F.struct("d", "m"))).alias("hang"))
     ranked = stage(ranked.select("c", F.col("end.m").alias("m"), F.col("end.d").alias("d"), F.col("hang.m").alias("up"), F.col("hang.d").alias("at")), "ranked")
@@ -215,7 +216,6 @@ def trie(conversations: DataFrame, rebuild: bool = True) -> DataFrame:
     totals = _summed(paths)
 
     grafts = owners.filter("up is not null").join(totals, "m").groupBy(F.col("up").alias("m"), F.col("at").alias("d"))
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
     extra = grafts.agg(F.count("*").alias("hung"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved")).select("m", "d", "hung", "leaves", "saved", none.alias("up"), zero.alias("over"))
     starts = owners.filter("up is not null").select("m", (F.col("at") + 1).alias("d"), zero.alias("hung"), zero.alias("leaves"), zero.alias("saved"), "up", zero.alias("over"))
     lasts = owners.select("m", F.col("last").alias("d"), zero.alias("hung"), zero.alias("leaves"), zero.alias("saved"), none.alias("up"), F.lit(1).cast("long").alias("over"))
