@@ -22,7 +22,7 @@ small. Occurrences get their range back by anchor and digest, frequent ones wher
 
 Defined cases: a null text is empty; a text shorter than LENGTH bytes loses nothing, whatever repeats; rows with equal
 ids or null ids are told apart by their text, and equal rows are repeats of each other and both lose it; an empty table
-gives an empty result; unpaired surrogates are kept as they are; extra columns are left out.
+gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -49,6 +49,8 @@ SHARD = 4_096
 RANGES = (24, 4, 1)
 #: Bytes of a text taken at a time.
 PIECE = 1 << 18
+#: Anchors of a batch.
+MOST_PLACES = 10_000
 #: A byte that UTF-8 never has stands where a text has none.
 NOTHING = 0xFF
 
@@ -109,15 +111,11 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     return at, np.concatenate(hashes)[first]
 
 
-def context(data: bytes, at: int, length: int, gram: int) -> bytes:
-    """All strings of `length` bytes around the anchor, padded to one size where the text ends."""
+def contexts(data: bytes, places: list[int], length: int, gram: int) -> list[bytes]:
+    """All strings of `length` bytes around each anchor, padded to one size where the text ends."""
     side = length - gram
-    body = data[max(at - side, 0) : at + length]
-    return b"\xff" * max(side - at, 0) + body + b"\xff" * max(at + length - len(data), 0)
-
-
-def _digested(body: bytes) -> tuple[int, int]:
-    return tuple(np.frombuffer(hashlib.blake2b(body, digest_size=16).digest(), np.int64).tolist())
+    padded = bytes([NOTHING]) * side + data + bytes([NOTHING]) * side
+    return [padded[at : at + side + length] for at in places]
 
 
 def _encoded(text: str) -> bytes:
@@ -136,18 +134,34 @@ def _grams(length: int, gram: int):
 def _places(length: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            held, rows = [], 0
             for *key, text in zip(*(batch[c] for c in KEY), texts(batch, "__text"), strict=True):
                 data = _encoded(text)
                 at, hashes = anchors(np.frombuffer(data, np.uint8), length, gram)
-                for k in range(0, len(at), 10_000):
-                    part = at[k : k + 10_000]
-                    digests = np.array([_digested(context(data, p, length, gram)) for p in part.tolist()], np.int64)
-                    columns = {"at": part, "gram": hashes[k : k + 10_000], "d1": digests[:, 0], "d2": digests[:, 1]}
-                    yield pd.DataFrame(dict(zip(KEY, key, strict=True)) | columns)
+                for k in range(0, len(at), MOST_PLACES):
+                    part = at[k : k + MOST_PLACES]
+                    bodies = contexts(data, part.tolist(), length, gram)
+                    digests = np.frombuffer(b"".join([hashlib.blake2b(b, digest_size=16).digest() for b in bodies]), np.int64).reshape(-1, 2)
+                    held.append((key, part, hashes[k : k + MOST_PLACES], digests))
+                    rows += len(part)
+                    if rows >= MOST_PLACES:
+                        yield _listed(held)
+                        held, rows = [], 0
+            if rows:
+                yield _listed(held)
 
     return run
 
 
+def _listed(held: list) -> pd.DataFrame:
+    """Anchors of several texts as rows."""
+    counts = [len(h[1]) for h in held]
+    columns = {c: np.repeat([h[0][k] for h in held], counts) for k, c in enumerate(KEY)}
+    columns |= {"at": np.concatenate([h[1] for h in held]), "gram": np.concatenate([h[2] for h in held])}
+    digests = np.concatenate([h[3] for h in held])
+    return pd.DataFrame(columns | {"d1": digests[:, 0], "d2": digests[:, 1]})
+
+
 def _bodies(length: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
@@ -157,9 +171,10 @@ def _bodies(length: int, gram: int):
                 if key == last:
                     continue
                 last, data = key, _encoded(text)
-                for k in range(0, len(asked), 10_000):
-                    part = asked[k : k + 10_000]
-                    rows = [(r["gram"], r["d1"], r["d2"], r["n"], 0, str(r["gram"]), context(data, r["at"], length, gram)) for r in part]
+                for k in range(0, len(asked), MOST_PLACES):
+                    part = asked[k : k + MOST_PLACES]
+                    bodies = contexts(data, [r["at"] for r in part], length, gram)
+                    rows = [(r["gram"], r["d1"], r["d2"], r["n"], 0, str(r["gram"]), b) for r, b in zip(part, bodies, strict=True)]
                     yield pd.DataFrame(rows, columns=["gram", "d1", "d2", "n", "shift", "group", "body"])
 
     return run
@@ -384,7 +399,8 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     )
     seen = keyed.select("__text").mapInPandas(_grams(length, gram), "gram long")
     twice = stage(seen.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
-    places = stage(join_spread(keyed.mapInPandas(_places(length, gram), PLACES), twice, ["gram"], "n", "left_semi"), "places")
+    # a plain join, so that the anchors are found once; adaptive execution divides frequent grams
+    places = stage(keyed.mapInPandas(_places(length, gram), PLACES).join(twice, "gram", "left_semi"), "places")
     first = F.min(F.struct(*KEY, "at")).alias("first")
     kinds = stage(places.groupBy("gram", "d1", "d2").agg(F.count("*").alias("n"), first), "kinds")
     asked = kinds.select(*[f"first.{c}" for c in KEY], F.struct("gram", "d1", "d2", "n", "first.at").alias("one"))

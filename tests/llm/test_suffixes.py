@@ -69,8 +69,7 @@ def test_small_shards_pieces_and_strings(documents, monkeypatch):
 
 def test_periodic_long_short_null_and_equal_texts(documents):
     prose = "".join(random.Random(3).choice("abcdefgh ") for _ in range(30_000))
-    texts = [None, "", "x" * 199, "x" * 199, "y" * 200, "z" * 201, "ab" * 300, prose, "é" * 150 + prose[100:299], prose[:200], prose[-200:] + "!", "\ud800" + prose[:50]]
-    texts = [t for t in texts if t is None or "\ud800" not in t]
+    texts = [None, "", "x" * 199, "x" * 199, "y" * 200, "z" * 201, "ab" * 300, prose, "é" * 150 + prose[100:299], prose[:200], prose[-200:] + "!"]
     assert found(documents, texts) == plain(texts)
 
 
