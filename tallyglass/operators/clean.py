@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from tallyglass.plans.selection import exact_quantiles, most_frequent_of
 
 # Symbols removed from text cells.
 SYMBOLS = "[,₹%—]"
+# No date under the formats below is longer.
+LONGEST_DATE = 40
 # Date spellings tried, in this order.
 DATE_FORMATS = (
     "yyyy-MM-dd",
@@ -167,6 +170,38 @@ def promote_timestamp(
     return df.withColumns({c: parsed_text(df, c, f) for c, f in found.items()})
 
 
+def settle_types(df: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+    """`promote_numeric` and then `promote_timestamp`, from one look at the table.
+
+    A cell's date formats are a bit mask, and the masks of a column are combined by a bitwise and. A number counts for
+    no format: where all cells are numbers the column is numeric, and no format fits both a number and another text.
+    Only cells as short as a date and with a digit are tried.
+    """
+    names = _text_columns(df, None)
+    if not names:
+        return df
+    checks = []
+    for i, c in enumerate(names):
+        text = _filled_text(F.col(f"`{c}`"))
+        number = is_number_text(text)
+        fits = [F.when(_parsed(text, f).isNotNull(), F.lit(1 << j)).otherwise(0).cast("long") for j, f in enumerate(formats)]
+        likely = ~number & (F.length(text) <= LONGEST_DATE) & text.rlike("[0-9]")
+        checks += [
+            F.count(text).alias(f"n{i}"),
+            F.count(F.when(number, text)).alias(f"d{i}"),
+            F.count(F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))).alias(f"l{i}"),
+            F.bit_and(F.when(likely, reduce(lambda a, b: a.bitwiseOR(b), fits)).when(text.isNotNull(), F.lit(0).cast("long"))).alias(f"m{i}"),
+        ]
+    row, out = df.agg(*checks).first(), {}
+    for i, c in enumerate(names):
+        filled, mask = row[f"n{i}"], row[f"m{i}"] or 0
+        if filled and row[f"d{i}"] == filled:
+            out[c] = _filled_text(F.col(f"`{c}`")).try_cast("bigint" if row[f"l{i}"] == filled else "double")
+        elif mask:
+            out[c] = parsed_text(df, c, formats[(mask & -mask).bit_length() - 1])
+    return df.withColumns(out)
+
+
 def parse_named_dates(df: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
     """Text columns with date or time in their name are parsed, and left alone where that fails."""
     named = [c for c in df.columns if "date" in c.lower() or "time" in c.lower()]

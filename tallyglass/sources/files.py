@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from tallyglass.operators import roles
 from tallyglass.operators.profile import quality_score
+from tallyglass.plans.staging import stage
+from tallyglass.sources.quoted import cut_records, joined_records
 
 # Spellings read as missing in CSV input.
 NA_TOKENS = (
@@ -29,20 +31,34 @@ def read_csv(
     """CSV with a header. Without a schema every column is read as text and its type settled after
     the missing-value spellings are gone, so one "N/A" does not turn a number column into text.
 
-    Values in quotes may hold line breaks, so a file is read by one task; many files are read side by side.
-    `quoted_breaks=False` also cuts large files whose values are known to hold none.
+    Values in quotes may hold line breaks. The files are still read by byte ranges (see `quoted`), and their records
+    written once to the shared folder, where all later reads find them. `quoted_breaks=False` leaves that out for files
+    whose values are known to hold none. Lines end in a line feed, with or without a carriage return.
     """
     reader = spark.read.option("header", True).option("multiLine", quoted_breaks).option("escape", '"')
     if schema is not None:
-        return reader.schema(schema).option("nullValue", "").csv(path)
-    from tallyglass.operators.clean import promote_numeric, promote_timestamp
+        typed = reader.schema(schema).option("nullValue", "")
+        return _parsed_records(spark, path, typed.csv(path).schema, nullValue="") if quoted_breaks else typed.csv(path)
+    from tallyglass.operators.clean import settle_types
 
+    # only the first record is read for the names
     raw = reader.option("inferSchema", False).csv(path)
+    if quoted_breaks:
+        raw = stage(_parsed_records(spark, path, raw.schema), "csv")
     tokens = list(na_tokens)
     cleared = raw.select(
         *[F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c) for c in raw.columns]
     )
-    return promote_timestamp(promote_numeric(cleared))
+    return settle_types(cleared)
+
+
+def _parsed_records(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, **options: str) -> DataFrame:
+    records = joined_records(stage(cut_records(spark, path), "records"))
+    options = {"escape": '"', "multiLine": "true", **options}
+    # plain names inside, whatever the columns are called
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+    cells = records.select(F.from_csv("record", plain.toDDL(), options).alias("cells"))
+    return cells.select(*[F.col(f"cells.c{i}").alias(f.name) for i, f in enumerate(schema)])
 
 
 def register(
