@@ -33,29 +33,27 @@ def per_column(df: DataFrame, cells: dict[str, dict[str, Column]]) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Distinct non-missing values per column. Exact counting shuffles distinct values, never rows:
-    values of all columns travel as (column, value), so one frequent value is merged before it."""
+    """Distinct non-missing values per column. Exact counting shuffles distinct values, never rows: values of all
+    columns travel as (column, two numbers), so one frequent value is merged before it. Numbers and moments stand for
+    themselves, other values for 128 bits of hashes."""
     if not exact:
         return per_column(df, {c: {"unique_count": F.approx_count_distinct(clean(df, c))} for c in df.columns})
-    cells = []
+    cells, zero = [], F.lit(0).cast("long")
     for i, f in enumerate(df.schema):
-        c, kind = clean(df, f.name), f.dataType
-        whole, real, text = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+        c, kind, rest = clean(df, f.name), f.dataType, zero
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            whole = F.unix_micros(c.cast("timestamp"))
+            value = F.unix_micros(c.cast("timestamp"))
         elif isinstance(kind, T.DateType):
-            whole = F.unix_date(c).cast("long")
+            value = F.unix_date(c).cast("long")
         elif isinstance(kind, (T.IntegralType, T.BooleanType)):
-            whole = c.cast("long")
-        elif isinstance(kind, (T.DoubleType, T.FloatType)):
-            real = c.cast("double")
+            value = c.cast("long")
         else:
-            text = c.cast("string")
-        cells.append(
-            F.when(c.isNotNull(), F.struct(F.lit(i).alias("seq"), whole.alias("w"), real.alias("r"), text.alias("t")))
-        )
+            # the two zeros are one value
+            same = F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double")) if isinstance(kind, (T.DoubleType, T.FloatType)) else c.cast("string")
+            value, rest = F.xxhash64(same), F.xxhash64(F.lit(i), same)
+        cells.append(F.struct(F.lit(i).alias("seq"), F.when(c.isNotNull(), value).alias("v"), rest.alias("w")))
     names = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(c).alias("name")) for i, c in enumerate(df.columns)])
-    values = df.select(F.inline(F.array(*cells))).filter(F.col("seq").isNotNull()).distinct()
+    values = df.select(F.inline(F.array(*cells))).filter(F.col("v").isNotNull()).distinct()
     counts = values.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
     listed = df.sparkSession.range(1).select(F.inline(names))
     return listed.join(counts, "seq", "left").select("seq", "name", F.coalesce("n", F.lit(0)).alias("unique_count"))
@@ -193,15 +191,34 @@ def profile_issues(df: DataFrame, max_skew: float = 2.0, max_outlier_share: floa
     )
 
 
+def row_digest(df: DataFrame) -> Column:
+    """The SHA-256 of a row's cells, equal for rows that `distinct` holds for equal."""
+    cells = []
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            # the two zeros are one value
+            text = F.when(c == 0, F.lit("0")).otherwise(c.cast("string"))
+        elif isinstance(f.dataType, T.BinaryType):
+            text = F.hex(c)
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            text = F.to_json(F.struct(c.alias("c")), {"ignoreNullFields": "false"})
+        else:
+            text = c.cast("string")
+        # a cell's length in front of it keeps neighbours apart, and a missing cell has none
+        cells.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.unhex(F.sha2(F.concat(*cells), 256))
+
+
 def quality_score(df: DataFrame) -> DataFrame:
     """Completeness, row uniqueness and type consistency in percent, and their weighted total.
 
-    Row uniqueness needs one shuffle of the distinct rows; copies are merged before it.
+    Rows are told apart by the SHA-256 of their cells, so only digests are shuffled, copies merged before it.
     """
     width = len(df.columns)
     missing = reduce(lambda a, b: a + b, [clean(df, c).isNull().cast("long") for c in df.columns])
     counts = df.agg(F.count(F.lit(1)).alias("total_rows"), F.coalesce(F.sum(missing), F.lit(0)).alias("missing_cells"))
-    distinct = df.distinct().agg(F.count(F.lit(1)).alias("distinct_rows"))
+    distinct = df.select(row_digest(df).alias("digest")).distinct().agg(F.count(F.lit(1)).alias("distinct_rows"))
     consistency = max(100.0 - 5.0 * len(number_text_columns(df, empty=True)), 0.0)
     cells = F.col("total_rows") * width
     return (

@@ -24,11 +24,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tallyglass.functions.columns import clean
+from tallyglass.plans.ordered import running_sums
+from tallyglass.plans.staging import stage
 
 # Built-in `percentile` keeps every distinct value in one buffer; it is used up to this many values.
 SMALL_CELLS = 200_000
-# A group with more values than this (or than a 100,000th of the table) is narrowed, not buffered.
-SMALL_GROUP = 1_000_000
+# Size of a group's sketch, and how far from a wanted rank its bracket reaches, as a part of the group.
+SKETCH, MARGIN = 512, 0.015
 # Rows left inside a bracket before they are ranked directly.
 FINAL_ROWS = 100_000
 # Distinct leading order keys that are ranked directly.
@@ -161,44 +163,7 @@ class _Columns:
         return self.df.filter(kept).select(F.inline(F.array(*cells))).filter(F.col("tid").isNotNull())
 
 
-class _Groups:
-    """Targets on groups of one column, matched to their brackets by a broadcast table of checked size."""
-
-    def __init__(self, data: DataFrame, groups: DataFrame, keys: Sequence[str]):
-        self.data, self.groups, self.keys = data, groups, list(keys)
-
-    def _rows(self, targets: dict[Hashable, Target]) -> DataFrame:
-        table = self.data.sparkSession.createDataFrame(
-            [(t, g.lo, g.hi, g.want) for t, g in targets.items()], "tid int, lo double, hi double, want array<long>"
-        )
-        return (
-            self.data.join(F.broadcast(self.groups.join(table, "tid")), self.keys)
-            .select("tid", F.col("__x").alias("x"), "lo", "hi", "want")
-            .filter(F.col("x").isNotNull())
-        )
-
-    _inside = staticmethod(
-        lambda: (F.col("lo").isNull() | (F.col("x") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("x") < F.col("hi")))
-    )
-
-    def sketch(self, targets):
-        rows = self._rows(targets).filter(self._inside()).groupBy("tid")
-        return {r["tid"]: r["grid"] for r in rows.agg(F.percentile_approx("x", _STEPS, ACCURACY).alias("grid")).collect()}
-
-    def count(self, targets):
-        x = F.col("x")
-        rows = self._rows(targets).groupBy("tid").agg(
-            F.count_if(x < F.col("lo")), F.count_if(x <= F.col("lo")), F.count_if(x >= F.col("hi")), F.count_if(x > F.col("hi"))
-        )
-        return {
-            t: (lt_lo, le_lo, targets[t].n - ge_hi, targets[t].n - gt_hi) for t, lt_lo, le_lo, ge_hi, gt_hi in rows.collect()
-        }
-
-    def rows_inside(self, targets):
-        return self._rows(targets).filter(self._inside()).select("tid", "x", "want")
-
-
-def select_ranks(source: _Columns | _Groups, targets: dict[Hashable, Target]) -> None:
+def select_ranks(source: _Columns, targets: dict[Hashable, Target]) -> None:
     """Fills `found` of every target: rank -> (value, rows below it, rows at it)."""
     busy = dict(targets)
     for _ in range(MOST_ROUNDS):
@@ -289,35 +254,42 @@ def grouped_quantile(df: DataFrame, keys: Sequence[str], name: str, prob: float,
     named = {f"__k{i}": k for i, k in enumerate(keys)}
     data = data.select(*[F.col(f"`{k}`").alias(a) for a, k in named.items()], clean(df, name).cast("double").alias("__x"))
     keys = list(named)
-    sizes = data.groupBy(*keys).agg(F.count("__x").alias("__n"))
-    largest, total = sizes.agg(F.max("__n"), F.sum("__n")).first()
-
-    def plain(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.percentile("__x", F.lit(prob)).alias(out))
-
-    def told(rows: DataFrame) -> DataFrame:
-        return rows.withColumnsRenamed(named)
-
-    if (largest or 0) <= SMALL_GROUP:
-        return told(plain(data))
-
-    # At most 100,000 groups can be this large, so their brackets are safe to broadcast.
-    limit = max(SMALL_GROUP, total // 100_000)
-    heavy = sizes.filter(F.col("__n") > limit).collect()
-    if not heavy:
-        return told(plain(data))
-    spark = df.sparkSession
-    schema = T.StructType([*(data.schema[k] for k in keys), T.StructField("tid", T.IntegerType())])
-    groups = spark.createDataFrame([(*row[:-1], i) for i, row in enumerate(heavy)], schema)
-    places = [_ranks(row["__n"], prob) for row in heavy]
-    targets = {
-        i: Target(heavy[i]["__n"], tuple(sorted({low, high}))) for i, (low, high, _) in enumerate(places)
-    }
-    select_ranks(_Groups(data, groups, keys), targets)
-    results = [(*heavy[i][:-1], _between(targets[i], *places[i])) for i in range(len(heavy))]
-    out_schema = T.StructType([*(data.schema[k] for k in keys), T.StructField(out, T.DoubleType())])
-    light = plain(data.join(F.broadcast(groups), keys, "left_anti"))
-    return told(light.unionByName(spark.createDataFrame(results, out_schema)))
+    place = F.col("n") * prob - prob
+    sketched = data.groupBy(*keys).agg(F.count("__x").alias("n"), F.kll_sketch_agg_double("__x", SKETCH).alias("sketch"))
+    sketched = sketched.withColumn("low", F.greatest(F.floor(place), F.lit(0)))
+    ranks = sketched.withColumns(
+        {"high": F.greatest(F.least(F.col("low") + 1, F.col("n") - 1), F.lit(0)), "part": F.greatest(place - F.col("low"), F.lit(0.0))}
+    )
+    # A bracket reaches the margin to both sides, which covers the sketch's error and, with three rows, the step to the
+    # next rank. It is open at an end of the group, and on both sides where the margin is less than three rows.
+    edge = lambda at: F.kll_sketch_get_quantile_double("sketch", F.lit(at)) if 0 < at < 1 else F.lit(None).cast("double")
+    wide = F.col("n") * MARGIN >= 3
+    brackets = ranks.select(*keys, "n", "low", "high", "part", F.when(wide, edge(prob - MARGIN)).alias("from"), F.when(wide, edge(prob + MARGIN)).alias("to"))
+    brackets = stage(brackets, "brackets")
+    found = stage(_ranked_in(data, brackets, keys), "found")
+    missed = found.filter("n > 0 AND (a IS NULL OR b IS NULL)").select(*keys)
+    if missed.limit(1).count():
+        # A sketch missed its bracket: all values of these groups are ranked.
+        none = F.lit(None).cast("double")
+        again = brackets.join(missed, keys).withColumns({"from": none, "to": none})
+        found = found.join(missed, keys, "left_anti").unionByName(_ranked_in(data.join(missed, keys), again, keys))
+    return found.select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias(out)).withColumnsRenamed(named)
+
+
+def _ranked_in(data: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The brackets with the values at their ranks `low` and `high`, NULL where one lies outside of its bracket.
+
+    Equal values merge before they are moved, and so do all below and all above a bracket.
+    """
+    x = F.col("__x")
+    side = F.when(x < F.col("from"), 0).when(x > F.col("to"), 2).otherwise(1)
+    placed = data.filter(x.isNotNull()).join(brackets.select(*keys, "low", "high", "from", "to"), keys)
+    cells = placed.withColumn("side", side).withColumn("x", F.when(F.col("side") == 1, x))
+    cells = cells.groupBy(*keys, "low", "high", "side", "x").agg(F.count("*").alias("rows"))
+    summed = running_sums(cells, keys, ["side", "x"], "rows", "upto")
+    holds = lambda rank: F.when((F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("rows") <= F.col(rank)), F.col("x"))
+    hits = summed.groupBy(*keys).agg(F.max(holds("low")).alias("a"), F.max(holds("high")).alias("b"))
+    return brackets.select(*keys, "n", "part").join(hits, keys, "left")
 
 
 def most_frequent(df: DataFrame, name: str):

@@ -19,7 +19,6 @@ from tallyglass.plans import ordered
 def narrowing(monkeypatch):
     """Limits so low that small tables take the path of large ones."""
     monkeypatch.setattr(sel, "SMALL_CELLS", 0)
-    monkeypatch.setattr(sel, "SMALL_GROUP", 20)
     monkeypatch.setattr(sel, "FINAL_ROWS", 25)
     monkeypatch.setattr(sel, "FEW_KEYS", 0)
     monkeypatch.setattr(sel, "TIE_ROWS", 3)
@@ -182,7 +181,6 @@ def test_number_rows_and_blocked_windows(spark, monkeypatch):
     df = spark.range(997).select((F.col("id") * 37 % 997).alias("k")).repartition(7)
     placed = number_rows(df, ["k"])
     assert placed.filter("position != k").count() == 0
-    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", 10)
     monkeypatch.setattr(ordered, "BLOCK_ROWS", 50)
     got = over_ordered(df, ["k"], 7, lambda w: {"before": F.lag("k", 7).over(w), "s": F.sum("k").over(w.rowsBetween(-6, 0))})
     assert got.count() == 997
@@ -199,3 +197,35 @@ def test_never_decreases(spark):
     got = {r["name"]: r["monotonic"] for r in never_decreases(df, ["up", "down", "gap", "nan"], ["k"]).collect()}
     assert got == {"up": True, "down": False, "gap": False, "nan": False}
     assert never_decreases(df.limit(0), ["up"], ["k"]).first()["monotonic"] is True
+
+
+def test_grouped_quantile_of_many_heavy_groups(spark):
+    """Fifty thousand groups, none collected, and sketches that miss."""
+    rows = spark.range(1_000_000).select((F.col("id") % 50_000).alias("k"), (F.xxhash64("id") % 1000).cast("double").alias("x"))
+    got = sel.grouped_quantile(rows, ["k"], "x", 0.5, "m")
+    want = rows.groupBy("k").agg(F.percentile("x", F.lit(0.5)).alias("w"))
+    assert got.join(want, "k").filter("abs(m - w) > 1e-9").count() == 0 and got.count() == 50_000
+
+
+@pytest.mark.parametrize("margin", [0.001, 0.015])
+def test_grouped_quantile_recovers_from_missed_brackets(spark, monkeypatch, margin):
+    monkeypatch.setattr(sel, "SKETCH", 8)
+    monkeypatch.setattr(sel, "MARGIN", margin)
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b", "none"], size=6000, p=[0.8, 0.1, 0.1]), "x": rng.normal(size=6000)})
+    pdf.loc[pdf.k == "none", "x"] = np.nan
+    for prob in (0.0, 0.37, 0.5, 1.0):
+        got = {r["k"]: r["m"] for r in sel.grouped_quantile(spark.createDataFrame(pdf).repartition(6), ["k"], "x", prob, "m").collect()}
+        assert got.pop("none") is None
+        assert got == pytest.approx(pdf[pdf.k != "none"].groupby("k")["x"].quantile(prob).to_dict())
+
+
+def test_running_sums_cross_blocks_and_keys(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SUM_BITS", 2)
+    rows = [(k, i, (i * 7 + k) % 5) for k in range(3) for i in range(100 if k else 700)]
+    df = spark.createDataFrame(rows, "k long, i long, v long").repartition(7)
+    got = {(r["k"], r["i"]): r["s"] for r in ordered.running_sums(df, ["k"], ["i"], "v", "s").collect()}
+    total = {}
+    for k, i, v in rows:
+        total[k] = total.get(k, 0) + v
+        assert got[k, i] == total[k]
