@@ -180,23 +180,20 @@ def settle_types(df: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataFr
     names = _text_columns(df, None)
     if not names:
         return df
-    checks = []
-    for i, c in enumerate(names):
-        text = _filled_text(F.col(f"`{c}`"))
-        number = is_number_text(text)
-        fits = [F.when(_parsed(text, f).isNotNull(), F.lit(1 << j)).otherwise(0).cast("long") for j, f in enumerate(formats)]
-        likely = ~number & (F.length(text) <= LONGEST_DATE) & text.rlike("[0-9]")
-        checks += [
-            F.count(text).alias(f"n{i}"),
-            F.count(F.when(number, text)).alias(f"d{i}"),
-            F.count(F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))).alias(f"l{i}"),
-            F.bit_and(F.when(likely, reduce(lambda a, b: a.bitwiseOR(b), fits)).when(text.isNotNull(), F.lit(0).cast("long"))).alias(f"m{i}"),
-        ]
-    row, out = df.agg(*checks).first(), {}
-    for i, c in enumerate(names):
-        filled, mask = row[f"n{i}"], row[f"m{i}"] or 0
-        if filled and row[f"d{i}"] == filled:
-            out[c] = _filled_text(F.col(f"`{c}`")).try_cast("bigint" if row[f"l{i}"] == filled else "double")
+    # the cells of all columns as rows, so that one small expression looks at them
+    cells = F.array(*[F.struct(F.lit(i).alias("seq"), _filled_text(F.col(f"`{c}`")).alias("text")) for i, c in enumerate(names)])
+    text, number = F.col("text"), is_number_text(F.col("text"))
+    fits = [F.when(_parsed(text, f).isNotNull(), F.lit(1 << j)).otherwise(0).cast("long") for j, f in enumerate(formats)]
+    likely = (F.length(text) <= LONGEST_DATE) & text.rlike("[0-9]")
+    rows = df.select(F.inline(cells)).filter(text.isNotNull()).withColumn("number", number)
+    rows = rows.withColumn("mask", F.when(~F.col("number") & likely, reduce(lambda a, b: a.bitwiseOR(b), fits)).otherwise(0))
+    whole = F.col("number") & text.rlike("^[+-]?[0-9]+$") & text.try_cast("bigint").isNotNull()
+    counted = rows.groupBy("seq").agg(F.count("*"), F.count_if("number"), F.count_if(whole), F.bit_and("mask"))
+    found, out = {r[0]: tuple(r)[1:] for r in counted.collect()}, {}
+    for i, (filled, numbers, longs, mask) in found.items():
+        c = names[i]
+        if numbers == filled:
+            out[c] = _filled_text(F.col(f"`{c}`")).try_cast("bigint" if longs == filled else "double")
         elif mask:
             out[c] = parsed_text(df, c, formats[(mask & -mask).bit_length() - 1])
     return df.withColumns(out)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tallyglass.operators import roles
 from tallyglass.operators.profile import quality_score
 from tallyglass.plans.staging import stage
-from tallyglass.sources.quoted import cut_records, joined_records
+from tallyglass.sources.quoted import cut_records, joined_pieces
 
 # Spellings read as missing in CSV input.
 NA_TOKENS = (
@@ -44,7 +44,7 @@ def read_csv(
     # only the first record is read for the names
     raw = reader.option("inferSchema", False).csv(path)
     if quoted_breaks:
-        raw = stage(_parsed_records(spark, path, raw.schema), "csv")
+        raw = _parsed_records(spark, path, raw.schema)
     tokens = list(na_tokens)
     cleared = raw.select(
         *[F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c) for c in raw.columns]
@@ -53,12 +53,17 @@ def read_csv(
 
 
 def _parsed_records(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, **options: str) -> DataFrame:
-    records = joined_records(stage(cut_records(spark, path), "records"))
-    options = {"escape": '"', "multiLine": "true", **options}
     # plain names inside, whatever the columns are called
     plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
-    cells = records.select(F.from_csv("record", plain.toDDL(), options).alias("cells"))
-    return cells.select(*[F.col(f"cells.c{i}").alias(f.name) for i, f in enumerate(schema)])
+    # a carriage return may stand before a line's end
+    text = F.regexp_replace("record", r"\r\z", "")
+    cells = F.from_csv(text, plain.toDDL(), {"escape": '"', "multiLine": "true", **options}).alias("cells")
+    cut = cut_records(spark, path).withColumn("whole", F.col("side").isNull())
+    kept = cut.filter("not whole or not header and record <> '' and record <> '\\r'")
+    read = stage(kept.withColumn("cells", F.when(F.col("whole"), cells)).withColumn("record", F.when(~F.col("whole"), F.col("record"))), "csv")
+    joined = joined_pieces(read.filter("not whole").drop("cells")).filter(~F.col("header"))
+    every = read.filter("whole").select("cells").unionByName(joined.select(cells))
+    return every.select(*[F.col(f"cells.c{i}").alias(f.name) for i, f in enumerate(schema)])
 
 
 def register(
