@@ -70,3 +70,22 @@ def test_queries_equal_their_sql(spark, data, name):
 
     ok, note = compare(spark, connect(data), data, name, QUERIES[name], ORACLES[name])
     assert ok, note
+
+
+def test_distinct_rows_move_as_digests(spark):
+    """Of a text column only hashes are shuffled."""
+    from tallyglass.operators import profile as P
+
+    rows = [("a", None, 0.0), ("a", None, -0.0), (None, "a", 0.0), ("a", "", 1.0), ("", "a", 1.0), ("ab", "c", float("nan")), ("a", "bc", float("nan"))]
+    df = spark.createDataFrame(rows, "a string, b string, x double")
+    assert P.quality_score(df).first()["duplicate_rows"] == len(rows) - df.distinct().count()
+    text = plan(P.quality_score(df))
+    assert re.findall(r"Exchange hashpartitioning\((\w+)#\d+L, (\w+)#", text) == [("h1", "h2")]
+    assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_the_monotonic_check_moves_rows_once(spark, data):
+    from tallyglass.operators import profile as P
+
+    text = plan(P.is_monotonic(V.table(spark, data, "lineitem"), ["l_quantity", "l_orderkey"], ["l_orderkey", "l_linenumber"]))
+    assert len(re.findall(r"Exchange rangepartitioning", text)) == 1 and "Exchange hashpartitioning" not in text and "Window" not in text
