@@ -57,7 +57,7 @@ NOTHING = 0xFF
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63], np.uint64)
 UPPER = np.uint64(0xFFFFFFFFFF000000)
 KEY = ["__doc", "__null", "__digest"]
-PLACES = "__doc long, __null boolean, __digest long, at long, gram long, d1 long, d2 long"
+PLACES = "__doc long, __null boolean, __digest long, at long, upto long, times long, gram long, d1 long, d2 long"
 STRINGS = "gram long, d1 long, d2 long, n long, shift int, group string, body binary"
 FOUND = "gram long, d1 long, d2 long, low int, high int"
 
@@ -154,32 +154,52 @@ def _places(length: int, gram: int):
 
 
 def _listed(held: list) -> pd.DataFrame:
-    """Anchors of several texts as rows."""
-    counts = [len(h[1]) for h in held]
-    columns = {c: np.repeat([h[0][k] for h in held], counts) for k, c in enumerate(KEY)}
-    columns |= {"at": np.concatenate([h[1] for h in held]), "gram": np.concatenate([h[2] for h in held])}
-    digests = np.concatenate([h[3] for h in held])
-    return pd.DataFrame(columns | {"d1": digests[:, 0], "d2": digests[:, 1]})
+    """Anchors of several texts as rows. Neighbours with equal contexts, as in periodic texts, are one row: their strings
+    overlap, since no two neighbours are farther apart than a window."""
+    text = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
+    at, digests = np.concatenate([h[1] for h in held]), np.concatenate([h[3] for h in held])
+    new = np.ones(len(at), bool)
+    new[1:] = (text[1:] != text[:-1]) | (digests[1:] != digests[:-1]).any(1)
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(at)))
+    columns = {c: [held[t][0][k] for t in text[first].tolist()] for k, c in enumerate(KEY)}
+    columns |= {"at": at[first], "upto": at[first + times - 1], "times": times, "gram": np.concatenate([h[2] for h in held])[first]}
+    return pd.DataFrame(columns | {"d1": digests[first, 0], "d2": digests[first, 1]})
+
+
+ASKED = ("gram", "d1", "d2", "n", "at")
 
 
 def _bodies(length: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
         for batch in batches:
-            for *key, text, asked in zip(*(batch[c] for c in KEY), texts(batch, "__text"), batch["asked"], strict=True):
+            held, rows = [], 0
+            for *key, text, grams, d1, d2, n, at in zip(*(batch[c] for c in KEY), texts(batch, "__text"), *(batch[c] for c in ASKED), strict=True):
                 # equal rows come one after the other, and one is enough
                 if key == last:
                     continue
                 last, data = key, _encoded(text)
-                for k in range(0, len(asked), MOST_PLACES):
-                    part = asked[k : k + MOST_PLACES]
-                    bodies = contexts(data, [r["at"] for r in part], length, gram)
-                    rows = [(r["gram"], r["d1"], r["d2"], r["n"], 0, str(r["gram"]), b) for r, b in zip(part, bodies, strict=True)]
-                    yield pd.DataFrame(rows, columns=["gram", "d1", "d2", "n", "shift", "group", "body"])
+                for k in range(0, len(at), MOST_PLACES):
+                    part = slice(k, k + MOST_PLACES)
+                    held.append((grams[part], d1[part], d2[part], n[part], contexts(data, at[part].tolist(), length, gram)))
+                    rows += len(at[part])
+                    if rows >= MOST_PLACES:
+                        yield _strings(held)
+                        held, rows = [], 0
+            if rows:
+                yield _strings(held)
 
     return run
 
 
+def _strings(held: list) -> pd.DataFrame:
+    """Contexts of several texts as rows, grouped by their anchor's gram."""
+    columns = {c: np.concatenate([h[k] for h in held]) for k, c in enumerate(ASKED[:4])}
+    bodies = [b for h in held for b in h[4]]
+    return pd.DataFrame(columns | {"shift": 0, "group": list(map(str, columns["gram"].tolist())), "body": bodies})
+
+
 # ---------------------------------------------------------------- transforms and their merge
 
 
@@ -371,9 +391,9 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for at in range(0, len(batch), 64):
             part, rows = batch.iloc[at : at + 64], []
-            for doc, null, text, found in zip(part["__doc"], part["__null"], texts(part, "__text"), part["found"], strict=True):
+            for doc, null, text, lows, highs in zip(part["__doc"], part["__null"], texts(part, "__text"), part["low"], part["high"], strict=True):
                 data, spans = _encoded(text), []
-                for low, high in sorted((r["low"], r["high"]) for r in (found if found is not None else ())):
+                for low, high in sorted(zip(lows.tolist(), highs.tolist(), strict=True)) if lows is not None else ():
                     if spans and low <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], high)
                     else:
@@ -402,14 +422,13 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     # a plain join, so that the anchors are found once; adaptive execution divides frequent grams
     places = stage(keyed.mapInPandas(_places(length, gram), PLACES).join(twice, "gram", "left_semi"), "places")
     first = F.min(F.struct(*KEY, "at")).alias("first")
-    kinds = stage(places.groupBy("gram", "d1", "d2").agg(F.count("*").alias("n"), first), "kinds")
+    kinds = stage(places.groupBy("gram", "d1", "d2").agg(F.sum("times").alias("n"), first), "kinds")
     asked = kinds.select(*[f"first.{c}" for c in KEY], F.struct("gram", "d1", "d2", "n", "first.at").alias("one"))
-    asked = asked.groupBy(*KEY).agg(F.collect_list("one").alias("asked"))
+    asked = asked.groupBy(*KEY).agg(F.collect_list("one").alias("all")).select(*KEY, *[F.col(f"all.{c}").alias(c) for c in ASKED])
     strings = keyed.join(asked, KEY).mapInPandas(_bodies(length, gram), STRINGS)
     sizes = kinds.groupBy(F.col("gram").cast("string").alias("group")).agg(F.count("*").alias("contexts"))
     ranges = repeated_ranges(strings, sizes, length)
-    side = F.col("at") - (length - gram)
-    spans = places.join(ranges, ["gram", "d1", "d2"]).groupBy(*KEY).agg(
-        F.collect_set(F.struct((side + F.col("low")).alias("low"), (side + F.col("high")).alias("high"))).alias("found")
-    )
+    cut = F.struct((F.col("at") + F.col("low") - (length - gram)).alias("low"), (F.col("upto") + F.col("high") - (length - gram)).alias("high"))
+    spans = places.join(ranges, ["gram", "d1", "d2"]).groupBy(*KEY).agg(F.collect_set(cut).alias("all"))
+    spans = spans.select(*KEY, F.col("all.low").alias("low"), F.col("all.high").alias("high"))
     return keyed.join(spans, KEY, "left").mapInPandas(_cut, CUT).withColumn("doc_id", F.col("doc").cast("long")).select("doc_id", "n_bytes", "spans", "kept")
