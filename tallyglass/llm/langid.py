@@ -45,16 +45,16 @@ _letters: list[np.ndarray] = []
 
 
 def _is_letter() -> np.ndarray:
-    """Whether each character of the first two planes is a letter; those behind are."""
+    """Whether each character of all planes is a letter."""
     if not _letters:
-        _letters.append(np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x20000)] + [True]))
+        _letters.append(np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)]))
     return _letters[0]
 
 
 def spectrum(text: str) -> np.ndarray | None:
     """Which slots the n-grams of a whole text fall into; None where it has no letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters = _is_letter()[np.minimum(points, 0x20000)]
+    letters = _is_letter()[points]
     if not letters.any():
         return None
     # one gap for each run of other characters, and one at either end

@@ -79,3 +79,10 @@ def test_odd_inputs(spark):
     got = sorted(((str(r["doc_id"]), r["lang_pred"]) for r in langid.identify(docs, model).collect()))
     assert [g for g in got if g[0] in "123"] == [("1", "und"), ("1", "und"), ("2", "und"), ("3", "und")] and got[4] == ("4", "bb")
     assert langid.identify(docs.limit(0), model).count() == 0
+
+
+def test_letters_of_all_planes():
+    """A flag of tag characters and private use have no letter; an ideograph behind the second plane is one."""
+    assert langid.spectrum("\U0001f3f4\U000e0067\U000e0062\U000e007f") is None
+    assert langid.spectrum("\U000f0000 12") is None
+    assert langid.spectrum("\U00020000") is not None
