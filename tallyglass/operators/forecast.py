@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 from statistics import NormalDist
 
@@ -15,6 +17,7 @@ from pyspark.sql.window import Window
 
 from tallyglass.functions.columns import clean
 from tallyglass.operators.roles import with_dates
+from tallyglass.plans.staging import stage
 
 
 def forecast_input(df: DataFrame, date_col: str, metric: str, by: Sequence[str] = (), grain: str = "day") -> DataFrame:
@@ -104,34 +107,127 @@ def forecast(
     )
 
 
-def _waves(t: np.ndarray, period: float, order: int) -> np.ndarray:
-    angle = 2 * np.pi * np.outer(t, np.arange(1, order + 1)) / period
-    return np.hstack([np.sin(angle), np.cos(angle)])
-
-
-def _fit_one(days: np.ndarray, y: np.ndarray, ahead: np.ndarray, parts: dict, bends: int, scale: float):
-    """Penalised least squares of a bending line plus waves; returns each component over days + ahead."""
-    everything = np.concatenate([days, ahead])
-    start, span = days.min(), max(days.max() - days.min(), 1.0)
-    size = max(np.abs(y).max(), 1e-12)
-    u = (everything - start) / span
-    # The trend may bend at evenly spaced points in the first four fifths of the history.
-    knots = np.linspace(0, 0.8, bends + 2)[1:-1] if bends else np.zeros(0)
-    line = np.column_stack([np.ones_like(u), u, *[np.maximum(u - k, 0) for k in knots]])
-    blocks = {"trend": (line, np.r_[0.0, 0.0, np.full(len(knots), 1 / (2 * scale))])}
-    for name, (period, order) in parts.items():
-        waves = _waves(everything, period, order)
-        blocks[name] = (waves, np.full(waves.shape[1], 0.005))
-    design = np.hstack([b for b, _ in blocks.values()])
-    penalty = np.concatenate([p for _, p in blocks.values()])
-    known = design[: len(days)]
-    weights = np.linalg.lstsq(known.T @ known + np.diag(penalty), known.T @ (y / size), rcond=None)[0]
+#: Steps of a series whose sums are formed at a time; a longer series spreads over tasks.
+CHUNK_STEPS = 4096
+
+
+@dataclass(frozen=True)
+class WaveModel:
+    """A line that may bend at evenly spaced points in the first four fifths of the history, plus waves."""
+
+    yearly: bool = True
+    weekly: bool = True
+    daily: bool = False
+    changepoints: int = 25
+    changepoint_scale: float = 0.05
+
+    @property
+    def waves(self) -> dict[str, tuple[float, int]]:
+        # Period in days and number of waves.
+        known = {"yearly": (365.25, 10), "weekly": (7.0, 3), "daily": (1.0, 4)}
+        return {name: known[name] for name in known if getattr(self, name)}
+
+    @property
+    def knots(self) -> list[float]:
+        return np.linspace(0, 0.8, self.changepoints + 2)[1:-1].tolist() if self.changepoints else []
+
+    @property
+    def penalty(self) -> list[float]:
+        bends = [1 / (2 * self.changepoint_scale)] * self.changepoints
+        return [0.0, 0.0, *bends, *[0.005] * sum(2 * order for _, order in self.waves.values())]
+
+    def design(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """One row of basis values for each step, from its place in the history (0 to 1) and its day."""
+        line = [np.ones_like(u), u, *[np.maximum(u - k, 0) for k in self.knots]]
+        for period, order in self.waves.values():
+            angle = 2 * np.pi * np.outer(np.arange(1, order + 1), t) / period
+            line += [*np.sin(angle), *np.cos(angle)]
+        return np.column_stack(line)
+
+    def basis(self, u: Column, t: Column) -> dict[str, list[Column]]:
+        """The same values as columns, by component."""
+        out = {"trend": [F.lit(1.0), u, *[F.greatest(u - k, F.lit(0.0)) for k in self.knots]]}
+        for name, (period, order) in self.waves.items():
+            angles = [2 * math.pi * k / period * t for k in range(1, order + 1)]
+            out[name] = [*map(F.sin, angles), *map(F.cos, angles)]
+        return out
+
+
+def _day_number(ds: str = "ds") -> Column:
+    return F.date_diff(ds, F.lit("1970-01-01").cast("date")) + F.hour(ds) / 24.0
+
+
+def _wave_totals(df: DataFrame, date_col: str, metric: str, keys: list[str], model: WaveModel) -> DataFrame:
+    """Totals per day, or hour where daily waves are asked for, written once: they are read several times."""
+    totals = forecast_input(df, date_col, metric, keys, "hour" if model.daily else "day")
+    totals = totals.withColumn("ds", F.col("ds").cast("timestamp_ntz"))
+    return stage(totals if keys else totals.withColumn("__all", F.lit(0)), "totals")
+
+
+def _wave_fit(totals: DataFrame, keys: list[str], model: WaveModel) -> DataFrame:
+    """keys, start, span, size, last, spread and weights of each series: penalised least squares.
+
+    Products of the basis are summed over chunks of a series first, so a task sees CHUNK_STEPS steps of it; the
+    solve sees one small row for each chunk.
+    """
+    t, size = _day_number(), len(model.penalty) + 1
+    reach = totals.groupBy(*keys).agg(
+        F.min(t).alias("start"),
+        F.greatest(F.max(t) - F.min(t), F.lit(1.0)).alias("span"),
+        F.greatest(F.max(F.abs("y")), F.lit(1e-12)).alias("size"),
+        F.max("ds").alias("last"),
+    )
+    steps = (t - F.col("start")) * (24 if model.daily else 1)
+    placed = totals.join(reach, keys).select(
+        *keys, F.floor(steps / CHUNK_STEPS).alias("chunk"), t.alias("t"), "y", "start", "span", "size", "last"
+    )
+    fixed = [totals.schema[k] for k in keys]
+    head = [T.StructField(c, T.DoubleType()) for c in ("start", "span", "size")] + [T.StructField("last", T.TimestampNTZType())]
+    numbers = T.ArrayType(T.DoubleType())
+    upper = np.triu_indices(size)
+
+    def sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        first = rows.iloc[[0]][[*keys, "chunk", "start", "span", "size", "last"]].reset_index(drop=True)
+        days = rows["t"].to_numpy()
+        table = np.column_stack([model.design((days - first["start"][0]) / first["span"][0], days), rows["y"] / first["size"][0]])
+        first["sums"] = [(table.T @ table)[upper]]
+        return first
+
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("chunk")
+        first = rows.iloc[[0]][[*keys, "start", "span", "size", "last"]].reset_index(drop=True)
+        gram = np.zeros((size, size))
+        gram[upper] = np.sum(np.stack(rows["sums"].to_list()), axis=0)
+        gram = gram + np.triu(gram, 1).T
+        known, target = gram[:-1, :-1], gram[:-1, -1]
+        weights = np.linalg.lstsq(known + np.diag(model.penalty), target, rcond=None)[0]
+        # The first column of the basis is one everywhere: its sums are counts and plain sums.
+        n, rest = known[0, 0], target[0] - weights @ known[0]
+        squares = gram[-1, -1] - 2 * weights @ target + weights @ known @ weights
+        first["spread"] = math.sqrt(max(squares - rest**2 / n, 0.0) / (n - 1)) * first["size"][0] if n > 1 else 0.0
+        first["weights"] = [weights]
+        return first
+
+    parts = T.StructType([*fixed, T.StructField("chunk", T.LongType()), *head, T.StructField("sums", numbers)])
+    fitted = T.StructType([*fixed, *head, T.StructField("spread", T.DoubleType()), T.StructField("weights", numbers)])
+    return placed.groupBy(*keys, "chunk").applyInPandas(sums, parts).groupBy(*keys).applyInPandas(solve, fitted)
+
+
+def _weighted(basis: dict[str, list[Column]]) -> dict[str, Column]:
+    """Each component as the sum of its weighted basis values, in units of the series' size."""
     out, at = {}, 0
-    for name, (block, _) in blocks.items():
-        out[name] = block @ weights[at : at + block.shape[1]] * size
-        at += block.shape[1]
-    rest = y - sum(out.values())[: len(days)]
-    return out, float(rest.std(ddof=1)) if len(y) > 1 else 0.0
+    for name, columns in basis.items():
+        out[name] = reduce(lambda a, b: a + b, [F.get("weights", F.lit(at + i)) * c for i, c in enumerate(columns)])
+        at += len(columns)
+    return out
+
+
+def _steps_ahead(periods: int, step: str) -> Column:
+    """The times of `periods` steps after `last`."""
+    if step == "hour":
+        return F.transform(F.sequence(F.lit(1), F.lit(periods)), lambda k: F.timestamp_add("HOUR", k, F.col("last")))
+    return F.transform(_steps_after("last", periods, step), lambda d: d.cast("timestamp_ntz"))
 
 
 def forecast_fourier(
@@ -150,49 +246,59 @@ def forecast_fourier(
 ) -> DataFrame:
     """A trend that may bend, plus yearly, weekly and daily waves, fitted per series.
 
-    Spark totals each series per day first (per hour where daily waves are asked for), so the group
-    handed to the fit is one series of calendar steps, whatever the size of the table. `step` (hour, day, week,
+    Spark totals each series per day first (per hour where daily waves are asked for) and sums the products of the
+    basis over chunks of it; the components are column expressions over the fitted weights. `step` (hour, day, week,
     month) is how the series goes on: by hours where daily waves are asked for, else by days.
     """
-    keys = list(by)
-    wanted = step or ("hour" if daily else "day")
-    freq = {**STEPS, "hour": "h"}[wanted]
-    grain = "hour" if daily else "day"
-    totals = forecast_input(df, date_col, metric, keys, grain).withColumn("ds", F.col("ds").cast("timestamp_ntz"))
+    model = WaveModel(yearly, weekly, daily, changepoints, changepoint_scale)
+    wanted, keys = step or ("hour" if daily else "day"), list(by) or ["__all"]
     z = NormalDist().inv_cdf(0.5 + interval / 2)
-    # Period in days and number of waves.
-    parts = {}
-    if yearly:
-        parts["yearly"] = (365.25, 10)
-    if weekly:
-        parts["weekly"] = (7.0, 3)
-    if daily:
-        parts["daily"] = (1.0, 4)
-    names = ["trend", *parts]
-    fields = [totals.schema[k] for k in keys] + [T.StructField("ds", T.TimestampNTZType())]
-    fields += [T.StructField(c, T.DoubleType()) for c in ("yhat", "yhat_lower", "yhat_upper", *names, "y")]
-    schema = T.StructType([*fields, T.StructField("is_future", T.BooleanType())])
-
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ds")
-        ds = pd.to_datetime(rows["ds"])
-        last = ds.iloc[-1] if wanted == "hour" else ds.iloc[-1].normalize()
-        last = last.replace(day=1) if wanted == "month" else last
-        steps = pd.date_range(last, periods=periods + 1, freq=freq)[1:]
-        origin = pd.Timestamp("1970-01-01")
-        days, ahead = ((d - origin) / pd.Timedelta(days=1) for d in (ds, steps))
-        out, spread = _fit_one(np.asarray(days), rows["y"].to_numpy(), np.asarray(ahead), parts, changepoints, changepoint_scale)
-        result = pd.DataFrame({"ds": np.concatenate([ds.to_numpy(), steps.to_numpy()]), **out})
-        result["yhat"] = sum(out.values())
-        result["yhat_lower"], result["yhat_upper"] = result["yhat"] - z * spread, result["yhat"] + z * spread
-        result["y"] = np.concatenate([rows["y"].to_numpy(), np.full(periods, np.nan)])
-        result["is_future"] = np.arange(len(result)) >= len(rows)
-        for name, value in zip(keys, key):
-            result[name] = value
-        return result[schema.names]
-
-    groups = totals.groupBy(*keys) if keys else totals.groupBy(F.lit(0).alias("__all"))
-    return groups.applyInPandas(fit, schema).withColumn("y", F.nanvl("y", F.lit(None).cast("double")))
+    totals = _wave_totals(df, date_col, metric, list(by), model)
+    fit = _wave_fit(totals, keys, model)
+    ahead = fit.select(*keys, F.explode(_steps_ahead(periods, wanted)).alias("ds"), F.lit(None).cast("double").alias("y"), F.lit(True).alias("is_future"))
+    rows = totals.withColumn("is_future", F.lit(False)).unionByName(ahead).join(fit, keys)
+    rows = rows.withColumns({"__t": _day_number(), "__u": (_day_number() - F.col("start")) / F.col("span")})
+    components = _weighted(model.basis(F.col("__u"), F.col("__t")))
+    rows = rows.withColumns({name: value * F.col("size") for name, value in components.items()})
+    yhat = reduce(lambda a, b: a + b, [F.col(name) for name in components])
+    return rows.select(
+        *by,
+        "ds",
+        yhat.alias("yhat"),
+        (yhat - z * F.col("spread")).alias("yhat_lower"),
+        (yhat + z * F.col("spread")).alias("yhat_upper"),
+        *components,
+        "y",
+        "is_future",
+    )
+
+
+def fourier_weights(df: DataFrame, date_col: str, metric: str, by: Sequence[str] = (), model: WaveModel | None = None) -> DataFrame:
+    """The fitted weights as rows: keys, part, place (over all parts), weight, and the gradient of the penalised squares there.
+
+    The gradient is summed anew over all steps, by column expressions; at the least-squares fit it is zero but for rounding.
+    """
+    model, keys = model or WaveModel(), list(by) or ["__all"]
+    totals = _wave_totals(df, date_col, metric, list(by), model)
+    rows = totals.join(_wave_fit(totals, keys, model), keys)
+    rows = rows.withColumns({"__t": _day_number(), "__u": (_day_number() - F.col("start")) / F.col("span")})
+    basis = model.basis(F.col("__u"), F.col("__t"))
+    rest = F.col("y") / F.col("size") - reduce(lambda a, b: a + b, _weighted(basis).values())
+    names = [name for name, columns in basis.items() for _ in columns]
+    each = F.posexplode(F.array(*[c for columns in basis.values() for c in columns])).alias("place", "value")
+    summed = (
+        rows.withColumn("__rest", rest)
+        .select(*keys, "weights", "__rest", each)
+        .groupBy(*keys, "place")
+        .agg(F.sum(F.col("value") * F.col("__rest")).alias("pull"), F.first(F.get("weights", "place")).alias("weight"))
+    )
+    return summed.select(
+        *by,
+        F.get(F.array(*map(F.lit, names)), "place").alias("part"),
+        "place",
+        "weight",
+        (F.get(F.array(*map(F.lit, model.penalty)), "place") * F.col("weight") - F.col("pull")).alias("gradient"),
+    )
 
 
 def forecast_summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:

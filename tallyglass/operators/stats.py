@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ from tallyglass.operators.roles import categorical_columns, numeric_columns
 from tallyglass.operators.series import _default_metrics, _labels
 from tallyglass.plans.selection import exact_quantiles
 
-# Sums per aggregate that still compile into one stage.
-SUMS_PER_PASS = 90
+# What rounding may leave of a constant's variance, in parts of its mean square.
+ROUNDING = 1e-12
 
 
 def strength(r: Column) -> Column:
@@ -43,48 +44,60 @@ def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def _pair_sums(values: DataFrame, means: list[float]) -> DataFrame:
+    """(i, j, n, sums and products of the centred values) over the rows with both values, for every i < j, in one scan.
+
+    A task multiplies batches of its rows as matrices, values and presence; one row a pair and task leaves it.
+    """
+    k = len(means)
+    first, second = np.triu_indices(k, 1)
+
+    def run(batches):
+        both, sums, squares, products = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            found = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            here = ~np.isnan(found)
+            x, m = np.where(here, found - means, 0.0), here.astype(float)
+            both, sums, squares, products = both + m.T @ m, sums + x.T @ m, squares + (x * x).T @ m, products + x.T @ x
+        pairs = {"i": first, "j": second, "n": both[first, second], "xy": products[first, second]}
+        pairs |= {"x": sums[first, second], "y": sums[second, first], "xx": squares[first, second], "yy": squares[second, first]}
+        if both.any():
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c in "ij" else pa.float64()) for c, v in pairs.items()})
+
+    names = ("n", "xy", "x", "y", "xx", "yy")
+    parts = values.mapInArrow(run, "i int, j int, " + ", ".join(f"{c} double" for c in names))
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, full: bool = False) -> DataFrame:
     """Correlation of every pair of numeric columns as rows (col1 before col2 in table order);
-    `full` adds the mirrored half and the diagonal."""
+    `full` adds the mirrored half and the diagonal.
+
+    Two scans, whatever the number of columns: means and constants, then all pairs. A pair is correlated over the rows
+    that have both values. There a column whose variance is below ROUNDING of its mean square around the mean of all its
+    values counts as constant; a constant has no correlation.
+    """
     names = list(columns) if columns is not None else numeric_columns(df)
-    spark = df.sparkSession
+    spark, k = df.sparkSession, len(names)
     value = {c: clean(df, c).cast("double") for c in names}
     seen = df.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.count(value[c]).alias(f"n{i}") for i, c in enumerate(names)],
         *[F.avg(value[c]).alias(f"m{i}") for i, c in enumerate(names)],
         *[(F.min(value[c]) < F.max(value[c])).alias(f"v{i}") for i, c in enumerate(names)],
     ).first()
-    # Columns without gaps share their centred sums: one product per pair instead of a full
-    # correlation. Pairs with a gap are correlated over the rows that have both values.
-    whole = [i for i in range(len(names)) if seen[f"n{i}"] == seen["n"] and seen["n"] > 1]
-    centred = {i: value[names[i]] - F.lit(seen[f"m{i}"]) for i in whole}
-    pairs = list(combinations(range(len(names)), 2))
-    shared = [(i, j) for i in whole for j in whole if i <= j]
-    sums: dict[tuple[int, int], float | None] = {}
-    for at in range(0, len(shared), SUMS_PER_PASS):
-        batch = shared[at : at + SUMS_PER_PASS]
-        row = df.agg(*[F.sum(centred[i] * centred[j]).alias(f"s{i}_{j}") for i, j in batch]).first()
-        sums.update({p: row[f"s{p[0]}_{p[1]}"] for p in batch})
-    gappy = [p for p in pairs if p not in sums]
-    for at in range(0, len(gappy), SUMS_PER_PASS // 6):
-        batch = gappy[at : at + SUMS_PER_PASS // 6]
-        row = df.agg(*[_corr(df, names[i], names[j]).alias(f"s{i}_{j}") for i, j in batch]).first()
-        sums.update({p: row[f"s{p[0]}_{p[1]}"] for p in batch})
-
-    def of_pair(i: int, j: int) -> float | None:
-        # A constant has no correlation, though its rounded mean may leave a tiny spread.
-        if not (seen[f"v{i}"] and seen[f"v{j}"]):
-            return None
-        if (i, j) in gappy:
-            return sums[i, j]
-        spread = math.sqrt(sums[i, i] * sums[j, j])
-        return max(-1.0, min(1.0, sums[i, j] / spread)) if spread > 0 else None
-
+    sums = _pair_sums(df.select(*[value[c].alias(f"c{i}") for i, c in enumerate(names)]), [seen[f"m{i}"] or 0.0 for i in range(k)])
+    listed = F.array(*map(F.lit, names)).cast("array<string>")
+    varied = F.array(*[F.lit(bool(seen[f"v{i}"])) for i in range(k)]).cast("array<boolean>")
     # One row per pair of columns, whatever the size of the table.
-    half = spark.createDataFrame(
-        [(i, j, names[i], names[j], of_pair(i, j)) for i, j in pairs],
-        "i int, j int, col1 string, col2 string, r double",
+    pairs = spark.range(k * k).select(F.floor(F.col("id") / max(k, 1)).cast("int").alias("i"), (F.col("id") % max(k, 1)).cast("int").alias("j"))
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    spread_x, spread_y = (F.col(c * 2) - F.col(c) * F.col(c) / n for c in "xy")
+    known = F.get(varied, "i") & F.get(varied, "j") & (spread_x > ROUNDING * F.col("xx")) & (spread_y > ROUNDING * F.col("yy"))
+    r = (F.col("xy") - F.col("x") * F.col("y") / n) / F.nullif(F.sqrt(spread_x) * F.sqrt(spread_y), F.lit(0.0))
+    half = (
+        pairs.filter("i < j")
+        .join(sums, ["i", "j"], "left")
+        .select("i", "j", F.get(listed, "i").alias("col1"), F.get(listed, "j").alias("col2"), F.when(known, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
     )
     if not full:
         return half

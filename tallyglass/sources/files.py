@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException, PySparkException
@@ -146,29 +147,65 @@ def result_key(query: str) -> str:
 
 
 def save_result(df: DataFrame, folder: str, query: str, title: str | None = None, text: str = "") -> str:
-    """Keep a query result under an eight-character key of its question, with title and text beside it."""
-    key = result_key(query)
+    """Keep a query result under an eight-character key of its question, with title and text beside it.
+
+    Data goes to a folder of its own version, then one card file publishes that version: a writer lost before that
+    leaves the former result as it was. The version before the published one stays for those who still read it.
+    """
+    key, spark = result_key(query), df.sparkSession
     # Fixed value: the title a saved result gets by default.
     shown = title or f"Insight: {query[:45]}{'...' if len(query) > 45 else ''}"
-    df.write.mode("overwrite").parquet(f"{folder}/data/key={key}")
-    card = df.sparkSession.createDataFrame([(shown, query, text)], "title string, query string, text string")
-    card.write.mode("overwrite").parquet(f"{folder}/cards/key={key}")
+    before = _versions(spark, folder, key)
+    # A number for the order, an id that keeps writers of the same number apart.
+    version = f"{int(before[-1].split('-')[0]) + 1 if before else 1:012d}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/data/key={key}/version={version}")
+    card = spark.createDataFrame([(shown, query, text)], "title string, query string, text string").coalesce(1)
+    card.write.parquet(f"{folder}/cards/key={key}/version={version}")
+    for old in before[:-1]:
+        for part in ("cards", "data"):
+            _delete(spark, f"{folder}/{part}/key={key}/version={old}")
     return key
 
 
+def _published(spark: SparkSession, folder: str) -> DataFrame:
+    kinds = "title string, query string, text string, key string, version string"
+    return spark.read.schema(kinds).option("basePath", f"{folder}/cards").parquet(f"{folder}/cards")
+
+
+def _versions(spark: SparkSession, folder: str, key: str) -> list[str]:
+    """The published versions of a key in their order: at most a few."""
+    if not _exists(spark, f"{folder}/cards"):
+        return []
+    return sorted(r["version"] for r in _published(spark, folder).filter(F.col("key") == key).select("version").collect())
+
+
 def saved_results(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/cards").withColumn("key", F.col("key").cast("string"))
+    """Title, query, text and key of every result, as last published."""
+    last = F.max_by(F.struct("title", "query", "text"), "version").alias("card")
+    return _published(spark, folder).groupBy("key").agg(last).select("card.title", "card.query", "card.text", "key")
 
 
 def load_result(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/data/key={key}")
+    found = _versions(spark, folder, key)
+    if not found:
+        raise FileNotFoundError(f"no saved result {key} in {folder}")
+    return spark.read.parquet(f"{folder}/data/key={key}/version={found[-1]}")
 
 
 def drop_result(spark: SparkSession, folder: str, key: str) -> None:
-    """Remove one saved result; the others stay."""
-    for part in ("data", "cards"):
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}/key={key}")
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    """Remove one saved result, its cards first; the others stay."""
+    for part in ("cards", "data"):
+        _delete(spark, f"{folder}/{part}/key={key}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def preview(df: DataFrame, n: int = 100, order_by: Sequence[str] = ()) -> DataFrame:

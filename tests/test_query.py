@@ -103,3 +103,26 @@ def test_find_column(spark, term, column):
 def test_question_tags(spark, text, want):
     got = QU.tag_questions(spark.createDataFrame([(text,)], "text string"), COLUMNS).first().asDict()
     assert {k: got[k] for k in want} == want
+
+
+def test_question_filters(spark, rows):
+    asked = [
+        (1, "Revenue by region where quantity > 10"),
+        (2, "sales with profit greater than 2.5 and cost under 7"),
+        (3, "where segment is north by region"),
+        (4, "quantity is over 3, quantity <= 9"),
+        (5, "weather above 30"),
+        (6, "turnover 5"),
+        (7, ""),
+        (8, None),
+    ]
+    df = spark.createDataFrame(asked, "id int, text string")
+    got = sorted(rows(QU.question_filters(df, ["revenue", "profit", "cost", "quantity", "segment"]), "id", "filter_column", "operator", "value"))
+    assert got == [
+        (1, "quantity", ">", "10"),
+        (2, "cost", "<", "7"),
+        (2, "profit", ">", "2.5"),
+        (3, "segment", "=", "north"),
+        (4, "quantity", "<=", "9"),
+        (4, "quantity", ">", "3"),
+    ]

@@ -1,6 +1,8 @@
 import datetime
 import json
 
+import pytest
+
 from tallyglass.operators.query import count_by
 from tallyglass.plans.staging import new_path, release, shared_folder, stage
 from tallyglass.sources import catalog as CT
@@ -77,6 +79,30 @@ def test_saved_results(spark, rows):
     assert sorted(rows(FI.load_result(spark, folder, key), "k", "count")) == [("a", 2), ("b", 1)]
 
 
+def test_a_result_is_published_last(spark, rows, monkeypatch):
+    folder = new_path(spark, "results")
+    one, two, three = (spark.createDataFrame([(k,)], "v int") for k in (1, 2, 3))
+    key = FI.save_result(one, folder, "Q", title="First")
+
+    def lost(*_, **__):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(spark), "createDataFrame", lost)
+        with pytest.raises(RuntimeError):
+            FI.save_result(two, folder, "Q", title="Second")
+    assert rows(FI.load_result(spark, folder, key)) == [(1,)]
+    assert [r["title"] for r in FI.saved_results(spark, folder).collect()] == ["First"]
+    reader = FI.load_result(spark, folder, key)
+    FI.save_result(two, folder, "Q", title="Second")
+    # who reads the version before goes on
+    assert rows(reader) == [(1,)] and rows(FI.load_result(spark, folder, key)) == [(2,)]
+    FI.save_result(three, folder, "Q")
+    assert rows(FI.load_result(spark, folder, key)) == [(3,)] and FI.saved_results(spark, folder).count() == 1
+    with pytest.raises(FileNotFoundError):
+        FI.load_result(spark, folder, "none")
+
+
 def test_insight_export_fills_the_priority(spark, rows):
     df = spark.createDataFrame(
         [("trend", None, "T", "D", "sales", 1.0)], "type string, priority string, title string, description string, metric string, value double"

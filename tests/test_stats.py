@@ -42,6 +42,28 @@ def test_correlations_match_pandas_with_and_without_gaps(spark):
     assert one["r"] == pytest.approx(want.loc["a", "b"]) and one["strength"] == "strong"
 
 
+def test_many_columns_with_gaps_take_two_scans(spark):
+    rng = np.random.default_rng(6)
+    values = rng.normal(size=(400, 40)) + rng.normal(size=(400, 1)) + 1e4
+    values[rng.random(values.shape) < 0.2] = np.nan
+    pdf = pd.DataFrame(values, columns=[f"c{k}" for k in range(40)])
+    matrix = A.correlation_matrix(spark.createDataFrame(pdf).repartition(5))
+    want = pdf.corr()
+    got = matrix.collect()
+    assert len(got) == 40 * 39 // 2
+    assert max(abs(r["r"] - want.loc[r["col1"], r["col2"]]) for r in got) < 1e-9
+    assert matrix._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_correlation_of_pairs_without_common_rows(spark):
+    df = spark.createDataFrame([(1.0, None, 2.0), (2.0, None, 2.0), (None, 3.0, 2.5), (None, 4.0, 9.0)], "a double, b double, c double")
+    got = {(r["col1"], r["col2"]): r["r"] for r in A.correlation_matrix(df).collect()}
+    # c is constant where a is known
+    assert got == {("a", "b"): None, ("a", "c"): None, ("b", "c"): pytest.approx(1.0)}
+    assert [r["r"] for r in A.correlation_matrix(df.limit(0)).collect()] == [None] * 3
+    assert A.correlation_matrix(df.select("a")).count() == 0
+
+
 def test_correlation_thresholds(spark):
     xs = list(range(100))
     df = spark.createDataFrame([(float(x), float(-x), float((x * 37) % 100)) for x in xs], "a double, b double, c double")

@@ -723,6 +723,34 @@ add(
 )
 
 
+# Questions with comparisons over the orders: (Spark, SQL) differ only in who joins the pieces.
+COMPARED = (
+    ("Total revenue where quantity > ", " by region"),
+    ("Show sales with profit greater than ", ".5 and cost under 900"),
+    ("Average price for quantity <= ", " per segment"),
+    ("List regions where revenue is above ", " or profit below 3"),
+    ("How many orders have cost over ", "?"),
+    ("Rows where segment is building and weather > ", ""),
+)
+
+
+def _compared(s: SparkSession, d: str) -> DataFrame:
+    at = (F.col("o_orderkey") % len(COMPARED)).cast("int")
+    before, after = (F.get(F.array(*[F.lit(x[k]) for x in COMPARED]), at) for k in (0, 1))
+    asked = V.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(before, (F.col("o_orderkey") % 97).cast("string"), after).alias("text"))
+    return QU.question_filters(asked, V.SALES_COLUMNS)
+
+
+_COMPARED_SQL = "asked AS (SELECT o_orderkey AS id, CASE o_orderkey % {n} {cases} END AS text FROM orders)".format(
+    n=len(COMPARED),
+    cases=" ".join(f"WHEN {k} THEN {W.quoted(a)} || CAST(o_orderkey % 97 AS VARCHAR) || {W.quoted(b)}" for k, (a, b) in enumerate(COMPARED)),
+)
+add(
+    "question_filters",
+    _compared,
+    f"WITH {_COMPARED_SQL}, {W.question_filters('asked', 'id', V.SALES_COLUMNS)} SELECT * FROM answered",
+)
+
 def _match_columns(s: SparkSession, d: str) -> DataFrame:
     words = V.question_log(s, d).select(F.explode(F.split("text", " ")).alias("term")).filter(F.col("term") != "")
     return QU.match_columns(words.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term", V.SALES_COLUMNS)

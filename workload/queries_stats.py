@@ -533,3 +533,11 @@ add(
     "forecast_fourier_components",
     lambda s, d: FC.forecast_components(FC.forecast_fourier(V.sales(s, d), "date", "revenue", by=["region"]), ["region"]),
 )
+add(
+    "forecast_fourier_weights",
+    lambda s, d: FC.fourier_weights(V.events(s, d), "ts", "value", ["event_type"]).select(
+        "event_type", "part", "place", (F.abs("gradient") < 1e-6).alias("at_the_least")
+    ),
+    """SELECT event_type, CASE WHEN place < 27 THEN 'trend' WHEN place < 47 THEN 'yearly' ELSE 'weekly' END AS part,
+      CAST(place AS INTEGER) AS place, TRUE AS at_the_least FROM (SELECT DISTINCT event_type FROM events), range(53) r(place)""",
+)

@@ -35,6 +35,8 @@ AGGREGATE_PATTERNS = {
 }
 BY_PATTERN = r"\b(?:by|per|for each|grouped by|across|segmented by)\s+(\w+)"
 COMPARE_PATTERN = r"\bcompare\s+(\w+)\s+(?:and|vs|versus|with|to)\s+(\w+)"
+GREATER_PATTERN = r"\b(\w+)(?:\s+(?:is|are))?\s*(>=?|\bgreater than\b|\bmore than\b|\babove\b|\bover\b)\s*(\d+(?:\.\d+)?)"
+LESS_PATTERN = r"\b(\w+)(?:\s+(?:is|are))?\s*(<=?|\bless than\b|\bunder\b|\bbelow\b)\s*(\d+(?:\.\d+)?)"
 WHERE_PATTERN = (
     r"\b(?:where|when|if|for|in|with)\s+(\w+)\s*(?:\bis\b|==|=|\bequals?\b)\s*[\"']?"
     r"([^\"']+?)[\"']?(?:\s+(?:by|per|for each|grouped by|across|segmented by)\s.*)?$"
@@ -173,6 +175,23 @@ def tag_questions(source: str, keys: str, columns) -> str:
       FROM ruled)"""
 
 
+def question_filters(source: str, keys: str, columns) -> str:
+    q = "lower(text)"
+
+    def compared(pattern: str, plain: str) -> str:
+        words, signs, values = (f"unnest(regexp_extract_all({q}, {quoted(pattern)}, {g}))" for g in (1, 2, 3))
+        return f"""SELECT {keys}, text, word, CASE WHEN sign = '{plain}=' THEN sign ELSE '{plain}' END AS operator, value
+          FROM (SELECT {keys}, text, {words} AS word, {signs} AS sign, {values} AS value FROM {source})"""
+
+    return f"""conditions AS (
+      SELECT {keys}, text, {group(q, WHERE_PATTERN)} AS word, '=' AS operator, trim({group(q, WHERE_PATTERN, 2)}) AS value
+      FROM {source} WHERE {matches(q, WHERE_PATTERN)}
+      UNION ALL {compared(GREATER_PATTERN, '>')} UNION ALL {compared(LESS_PATTERN, '<')}),
+    answered AS (
+      SELECT * FROM (SELECT {keys}, text, {find_column('word', columns)} AS filter_column, operator, value FROM conditions)
+      WHERE filter_column IS NOT NULL)"""
+
+
 def t_p_value(t: str, dof: str, steps: int = 1000) -> str:
     """Share of the t curve beyond |t|, by Simpson's rule in the angle."""
     top = f"least(pi() / 2, 40.0 / sqrt({dof}))"
