@@ -125,25 +125,28 @@ def train(docs: DataFrame, learn=None) -> Model | None:
     own = docs.select("doc_id", F.col("lang").alias("language"), "text").filter(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & learn
     )
+    # An id counts once for each of its languages, however many rows repeat it: with the text of the least hash.
+    named = own.groupBy("language", "doc_id").agg(F.min(F.xxhash64("text")).alias("digest"))
     # Few more ids than wanted pass the threshold of their language, so the cut of a language sees no more than that.
-    common = own.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MOST_LANGUAGES)
+    common = named.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MOST_LANGUAGES)
     first = Window.partitionBy("language").orderBy(place(), "doc_id")
     chosen = (
-        own.select("doc_id", "language")
-        .join(F.broadcast(common), "language")
+        named.join(F.broadcast(common), "language")
         .filter(place() < threshold(PER_LANGUAGE, F.col("count")))
         .withColumn("rank", F.row_number().over(first))
         .filter(F.col("rank") <= PER_LANGUAGE)
-        .select("doc_id", "language")
-        .distinct()
+        .select("doc_id", "language", "digest")
     )
 
     def run(batches):
         for batch in batches:
-            found = [(x, np.packbits(s).tobytes()) for x, t in zip(batch["language"], texts(batch), strict=True) if (s := spectrum(t)) is not None]
-            yield pd.DataFrame(found, columns=["language", "bits"])
+            found = [(i, x, s) for i, x, t in zip(batch["doc_id"], batch["language"], texts(batch), strict=True) if (s := spectrum(t)) is not None]
+            yield pd.DataFrame([(i, x, np.packbits(s).tobytes()) for i, x, s in found], columns=["doc_id", "language", "bits"])
 
-    sample = own.join(F.broadcast(chosen), ["doc_id", "language"]).select("language", "text").mapInPandas(run, "language string, bits binary")
+    own = own.select(F.col("doc_id").cast("string").alias("doc_id"), "language", "text", F.xxhash64("text").alias("digest"))
+    chosen = chosen.withColumn("doc_id", F.col("doc_id").cast("string"))
+    sample = own.join(F.broadcast(chosen), ["doc_id", "language", "digest"]).select("doc_id", "language", "text")
+    sample = sample.mapInPandas(run, "doc_id string, language string, bits binary").dropDuplicates(["doc_id", "language"])
     rows = sorted((r["language"], bytes(r["bits"])) for r in sample.collect())
     if not rows:
         return None

@@ -1,12 +1,12 @@
 """Licence scans: passages of normalised text compared with templates by the Dice coefficient of word bigrams.
 
-Normalised text is its words of ASCII letters and digits in lower case. Word bigrams of a template gather into
-zones; a zone ends where more of them are missing in a row than a passage of the template's length may lack. Size
-bounds prune the rest: a coefficient of t needs sizes of at most (2 - t) / t to one and an overlap of at least
-t / (2 - t) of the template. Within a zone the template is laid over every passage of its own length, counting
-shared bigrams as passages move on, and over the zone as a whole; repeats count as often as both have
-them. Of overlapping passages the one with the largest product of coefficient and words stays, so a full header
-wins over the notice inside it.
+Normalised text is its words of ASCII letters and digits in lower case. Size bounds prune and lose nothing: a
+coefficient of t needs sizes of at most (2 - t) / t to one and an overlap of at least t / (2 - t) of the template. So
+only zones are looked at where that many of a template's bigrams lie within the longest passage allowed, and in them
+only passages that start and end on a bigram of the template, since any other gains by being cut to one. From every
+start the passage with the largest coefficient counts (of equal ones the longest); repeats count as often as both
+have them. Of one template's overlapping passages the one with the largest coefficient stays, then of all overlapping
+ones that with the largest product of coefficient and words, so a full header wins over the notice inside it.
 
 Defined cases: null and empty texts hold no licence; a text that repeats a notice reports each passage; repeated
 rows are reported alike; an empty table gives an empty result; further columns are ignored.
@@ -14,7 +14,9 @@ rows are reported alike; an empty table gives an empty result; further columns a
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 
@@ -47,6 +49,9 @@ class Template:
     name: str
     size: int
     bigrams: Counter
+    #: The fewest shared bigrams and the most bigrams of a passage that can reach the threshold.
+    least: int
+    most: int
 
 
 class Scanner:
@@ -58,75 +63,74 @@ class Scanner:
         for k, (name, text) in enumerate(templates):
             words = words_of(text)
             bigrams = Counter(zip(words, words[1:], strict=False))
-            self.templates.append(Template(name, bigrams.total(), bigrams))
+            size, part = bigrams.total(), threshold / (2 - threshold)
+            self.templates.append(Template(name, size, bigrams, max(1, math.ceil(size * part - 1e-9)), int(size / part + 1e-9)))
             for pair in bigrams:
                 self.holders.setdefault(pair, []).append(k)
 
     def zones(self, words: list[str]):
-        """(template, first, end) of bigram positions that could hold a passage like a template."""
+        """(template, places, bigrams) of its bigrams in each zone that could hold a passage like a template."""
         hits: dict[int, list[int]] = {}
-        for at, pair in enumerate(zip(words, words[1:], strict=False)):
+        pairs = list(zip(words, words[1:], strict=False))
+        for at, pair in enumerate(pairs):
             for k in self.holders.get(pair, ()):
                 hits.setdefault(k, []).append(at)
-        for k, places in hits.items():
-            size = self.templates[k].size
-            need, gap = size * self.threshold / (2 - self.threshold) - 1e-9, int(size * (1 - self.threshold)) + 1
-            start = 0
-            for i in range(1, len(places) + 1):
-                if i == len(places) or places[i] - places[i - 1] > gap:
-                    if i - start >= need:
-                        yield self.templates[k], places[start], places[i - 1] + 1
-                    start = i
+        for k, found in hits.items():
+            template = self.templates[k]
+            need = template.least
+            if len(found) < need:
+                continue
+            places = np.array(found)
+            close = np.flatnonzero(places[need - 1 :] - places[: len(places) - need + 1] < template.most)
+            if not len(close):
+                continue
+            for run in np.split(close, np.flatnonzero(np.diff(close) > need) + 1):
+                zone = found[run[0] : run[-1] + need]
+                yield template, zone, [pairs[at] for at in zone]
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(licence, coefficient, first word, words) of every passage that reaches the threshold."""
         words, found = words_of(text), []
-        for template, first, end in self.zones(words):
-            width = min(template.size, end - first)
-            shared = self._shared(words, first, end, width, template.bigrams)
-            tried = [(first + p, width) for p in self._peaks(shared, width, template.size)]
-            if end - first <= template.size * (2 - self.threshold) / self.threshold:
-                tried.append((first, end - first))
-            for at, n in tried:
-                likeness = dice(Counter(zip(words[at : at + n], words[at + 1 : at + n + 1], strict=False)), template.bigrams)
-                if likeness >= self.threshold:
-                    found.append((template.name, likeness, at, n + 1))
-        return self._apart(found)
+        for template, places, pairs in self.zones(words):
+            tried = [(template.name, likeness, at, n + 1) for likeness, at, n in self._passages(template, places, pairs)]
+            found += self._apart(tried, lambda f: (-f[1], -f[3], f[2]))
+        return self._apart(found, lambda f: (-f[1] * f[3], -f[1], f[2], f[0]))
+
+    def _passages(self, template: Template, places: list[int], pairs: list[tuple[str, str]]):
+        """(coefficient, first bigram, bigrams) of the best passage from each start that reaches the threshold."""
+        size, most, limit = template.size, template.most, template.bigrams
+        # Bigrams shared, with repeats, by the longest passage from each start: what no shorter one exceeds.
+        held, shared, end = Counter(), 0, 0
+        for i, first in enumerate(places):
+            while end < len(places) and places[end] - first < most:
+                shared += held[pairs[end]] < limit[pairs[end]]
+                held[pairs[end]] += 1
+                end += 1
+            if shared >= template.least:
+                own, overlap, best = Counter(), 0, (0.0, 0)
+                for j in range(i, end):
+                    pair = pairs[j]
+                    if own[pair] < limit[pair]:
+                        overlap += 1
+                        own[pair] += 1
+                        n = places[j] - first + 1
+                        best = max(best, (2 * overlap / (n + size), n))
+                if best[0] >= self.threshold - 1e-12:
+                    yield best[0], first, best[1]
+            held[pairs[i]] -= 1
+            shared -= held[pairs[i]] < limit[pairs[i]]
 
     @staticmethod
-    def _shared(words: list[str], first: int, end: int, width: int, bigrams: Counter) -> np.ndarray:
-        """Bigrams shared with a template, with repeats, by each passage of `width` bigrams within a zone."""
-        held, shared, out = Counter(), 0, np.zeros(end - first - width + 1, np.int64)
-        for k in range(first, end):
-            pair = words[k], words[k + 1]
-            if pair in bigrams:
-                shared += held[pair] < bigrams[pair]
-                held[pair] += 1
-            if k - width >= first:
-                gone = words[k - width], words[k - width + 1]
-                if gone in bigrams:
-                    held[gone] -= 1
-                    shared -= held[gone] < bigrams[gone]
-            if k - width + 1 >= first:
-                out[k - width + 1 - first] = shared
-        return out
-
-    def _peaks(self, shared: np.ndarray, width: int, size: int):
-        """Starts of passages that reach the threshold: the best of each stretch of them no longer than the template."""
-        good = np.flatnonzero(2 * shared >= self.threshold * (width + size) - 1e-9)
-        if not len(good):
-            return
-        for run in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1):
-            for part in np.array_split(run, -(-len(run) // width)):
-                yield int(part[np.argmax(shared[part])])
-
-    @staticmethod
-    def _apart(found):
-        """Of overlapping passages the one with most likeness times words stays."""
-        kept = []
-        for name, likeness, at, n in sorted(set(found), key=lambda f: (-f[1] * f[3], -f[1], f[2], f[0])):
-            if all(at + n <= a or a + m <= at for _, _, a, m in kept):
-                kept.append((name, likeness, at, n))
+    def _apart(found, order):
+        """In this order, the passages that overlap none before them."""
+        starts, ends, kept = [], [], []
+        for passage in sorted(set(found), key=order):
+            at, end = passage[2], passage[2] + passage[3]
+            k = bisect_right(starts, at)
+            if (not k or ends[k - 1] <= at) and (k == len(starts) or starts[k] >= end):
+                starts.insert(k, at)
+                ends.insert(k, end)
+                kept.append(passage)
         return sorted(kept, key=lambda f: f[2])
 
 

@@ -112,6 +112,23 @@ class Network:
         return np.clip((x - self.mean) / self.scale, -8, 8)
 
 
+def risk_slope(z: np.ndarray, n_p: int, prior: float) -> np.ndarray:
+    """How the minimised risk changes with each logit, the first n_p of them of positives.
+
+    Where the estimate of the negative risk falls below zero, that part alone counts, reversed.
+    """
+    sigma = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    as_negative = np.logaddexp(0, z)  # loss of calling a row negative
+    negative_risk = as_negative[n_p:].mean() - prior * as_negative[:n_p].mean()
+    slope = np.zeros_like(z)
+    slope[n_p:] = sigma[n_p:] / (len(z) - n_p)
+    slope[:n_p] = -prior * sigma[:n_p] / n_p
+    if negative_risk < 0:
+        return -slope
+    slope[:n_p] += prior * (sigma[:n_p] - 1) / n_p
+    return slope
+
+
 def non_negative_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = SEED) -> Network:
     """Minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss, by Adam.
 
@@ -137,17 +154,7 @@ def non_negative_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float,
         w1, b1, w2, b2 = net.weights
         hidden = np.maximum(x @ w1 + b1, 0)
         z = (hidden @ w2 + b2)[:, 0]
-        sigma = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        n_p = len(x_p)
-        as_negative = np.logaddexp(0, z)  # loss of calling a row negative
-        negative_risk = as_negative[n_p:].mean() - prior * as_negative[:n_p].mean()
-        slope = np.zeros_like(z)
-        slope[n_p:] = sigma[n_p:] / (len(z) - n_p)
-        slope[:n_p] = -prior * sigma[:n_p] / n_p
-        if negative_risk >= 0:
-            slope[:n_p] += prior * (sigma[:n_p] - 1) / n_p
-        else:
-            slope = -slope
+        slope = risk_slope(z, len(x_p), prior)
         back = (slope[:, None] @ w2.T) * (hidden > 0)
         grads = [x.T @ back + DECAY * w1, back.sum(0), hidden.T @ slope[:, None] + DECAY * w2, np.array([slope.sum()])]
         for i, g in enumerate(grads):
@@ -181,20 +188,22 @@ def _featured(chosen: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             made = [features(t).tolist() for t in texts(batch)]
-            yield pd.DataFrame({"kind": batch["kind"], "x": made})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "kind": batch["kind"], "x": made})
 
-    return chosen.select("kind", "text").mapInPandas(run, "kind int, x array<float>")
+    chosen = chosen.select(F.col("doc_id").cast("string").alias("doc_id"), "kind", "text")
+    return chosen.mapInPandas(run, "doc_id string, kind int, x array<float>")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn=None) -> Network | None:
     """Fit on rows that `learn` (a condition on doc_id) lets through; None where nothing can be learned."""
     small_batches(docs.sparkSession)
     learn = fold(parts=FOLDS) != HELD_OUT if learn is None else learn
-    own = docs.select("doc_id", text_or_empty().alias("text")).filter(F.col("doc_id").isNotNull() & learn)
+    own = docs.select("doc_id", text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("digest")).filter(F.col("doc_id").isNotNull() & learn)
     marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    marked = own.select("doc_id").distinct().join(marks, "doc_id", "left")
+    # An id counts once, however many rows repeat it: with the text of the least hash.
+    marked = own.groupBy("doc_id").agg(F.min("digest").alias("digest")).join(marks, "doc_id", "left")
     kind = F.when(F.col("quality") == 1, 1).when(F.col("quality").isNull(), 0)
-    marked = marked.select("doc_id", kind.alias("kind")).filter("kind is not null")
+    marked = marked.select("doc_id", "digest", kind.alias("kind")).filter("kind is not null")
     # Few more ids than wanted pass the threshold of their kind, so the cut sees no more whatever the table's size.
     counts, chosen = {r["kind"]: r["count"] for r in marked.groupBy("kind").count().collect()}, None
     for k in (1, 0):
@@ -202,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn=None)
         some = some.orderBy(place(), "doc_id").limit(sample)
         chosen = some if chosen is None else chosen.union(some)
     # At most 2 * sample ids: a bound of the operator, so they may be sent to every task.
-    found = _featured(own.join(F.broadcast(chosen), "doc_id")).collect()
+    found = _featured(own.join(F.broadcast(chosen), ["doc_id", "digest"])).dropDuplicates(["doc_id"]).collect()
     x = np.array([r["x"] for r in found], np.float32).reshape(-1, FEATURES)
     kinds = np.array([r["kind"] for r in found])
     order = np.lexsort(x.T) if len(x) else []

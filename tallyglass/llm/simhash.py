@@ -60,16 +60,16 @@ def simhash(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text, as a signed long."""
+    """(doc_id, digest, fp): a hash and the fingerprint of every whole text, as signed longs."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             found = np.array([simhash(t) for t in texts(batch)], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": found})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "fp": found})
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return chosen.mapInPandas(run, "doc_id long, fp long")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), text_or_empty().alias("text"))
+    return chosen.mapInPandas(run, "doc_id long, digest long, fp long")
 
 
 # ---------------------------------------------------------------- buckets
@@ -262,11 +262,15 @@ def bucket_links(rows: DataFrame, parts: int) -> DataFrame:
 # ---------------------------------------------------------------- operator
 
 
-def near_duplicates(docs: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row: components of fingerprints within the radius."""
+def linked_rows(docs: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
+    """(doc_id, digest, fp, component) of every row: components of fingerprints within the radius.
+
+    A component is named by the smallest (doc_id, digest) of its rows with an id, so texts that share an id stay apart.
+    """
     spark = docs.sparkSession
     found = stage(fingerprints(docs), "fingerprints")
-    distinct = stage(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    named_row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest"))
+    distinct = stage(found.groupBy("fp").agg(F.min(named_row).alias("least"), F.count("*").alias("n")), "distinct")
     narrow_rows(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     forests = [bucket_links(rows, parts) for rows in buckets(distinct.select("fp"), limit)]
@@ -275,18 +279,26 @@ def near_duplicates(docs: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
         links = links.union(more)
     rooted = components(links).select(F.col("node").alias("fp"), "root")
     linked = distinct.join(rooted, "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
-    groups = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
-    return join_spread(found, stage(groups, "groups"), ["fp"], "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = linked.groupBy("root").agg(F.min("least").alias("component"))
+    named = linked.join(least, "root").select("fp", "component")
+    groups = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"), "n")
+    return join_spread(found, stage(groups, "groups"), ["fp"], "n")
+
+
+def near_duplicates(docs: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row: components of fingerprints within the radius."""
+    shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return linked_rows(docs, limit).select("doc_id", shown, F.col("component.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Documents without near-duplicates: of each component the row with the smallest id stays, once.
 
-    Rows without an id stay.
+    Rows that share an id but not a text are documents of their own. Rows without an id stay.
     """
-    found = near_duplicates(docs)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    found = linked_rows(docs)
+    first = (F.col("doc_id") == F.col("component.doc_id")) & (F.col("digest") == F.col("component.digest"))
+    kept = found.filter(first).select("doc_id", F.col("digest").alias("__digest")).distinct()
     unnamed = docs.filter("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(unnamed)
+    told = docs.withColumn("__digest", F.xxhash64("text")).join(kept, ["doc_id", "__digest"], "left_semi")
+    return told.dropDuplicates(["doc_id", "__digest"]).select(*docs.columns).unionByName(unnamed)

@@ -86,3 +86,11 @@ def test_letters_of_all_planes():
     assert langid.spectrum("\U0001f3f4\U000e0067\U000e0062\U000e007f") is None
     assert langid.spectrum("\U000f0000 12") is None
     assert langid.spectrum("\U00020000") is not None
+
+
+def test_an_id_on_many_rows_counts_once(spark):
+    docs = frame(spark, corpus(60))
+    some = docs.filter("lang is not null and text is not null").filter(langid.fold(parts=langid.FOLDS) != langid.HELD_OUT).orderBy("doc_id").limit(1)
+    many = docs.unionByName(some.crossJoin(spark.range(3000)).drop("id"))
+    asked = ["der und das", "the of and", "x"]
+    assert langid.train(many).predict(asked) == langid.train(docs).predict(asked)

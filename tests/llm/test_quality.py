@@ -69,3 +69,34 @@ def test_odd_inputs(spark):
     assert quality.keep_good(docs, None).count() == 6
     for text in ["", "\n", " ", "\ud83d", "é" * 100_000, "a"]:
         assert np.isfinite(quality.features(text)).all()
+
+
+def plain_risk(z, n_p, prior, part):
+    loss = lambda v: np.log1p(np.exp(-v))
+    negative = loss(-z[n_p:]).mean() - prior * loss(-z[:n_p]).mean()
+    return prior * loss(z[:n_p]).mean() + negative if part == "whole" else -negative
+
+
+def test_slopes_are_those_of_the_risk():
+    rng = np.random.default_rng(7)
+    seen = set()
+    for shift in (-4.0, -1.0, 0.0, 2.0):
+        z, n_p, prior = rng.normal(size=30), 12, 0.6
+        z[n_p:] += shift
+        negative = -plain_risk(z, n_p, prior, "negative")
+        part = "whole" if negative >= 0 else "negative"
+        seen.add(part)
+        got = quality.risk_slope(z, n_p, prior)
+        for k in range(30):
+            step = np.eye(30)[k] * 1e-5
+            want = (plain_risk(z + step, n_p, prior, part) - plain_risk(z - step, n_p, prior, part)) / 2e-5
+            assert abs(got[k] - want) < 1e-7
+    assert seen == {"whole", "negative"}
+
+
+def test_an_id_on_many_rows_counts_once(spark):
+    docs, labels = frames(spark, corpus(300))
+    some = docs.filter(fold(parts=5) != 0).orderBy("doc_id").limit(1)
+    many = docs.unionByName(some.crossJoin(spark.range(3000)).drop("id"))
+    x = np.random.default_rng(1).random((5, quality.FEATURES))
+    assert np.allclose(quality.train(docs, labels).logits(x), quality.train(many, labels).logits(x), atol=1e-3)

@@ -102,3 +102,14 @@ def test_repeated_rows_empty_table_and_null_ids(spark, documents):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     clash = docs.withColumn("component_id", F.lit(1)).withColumn("fp", F.lit("x")).withColumn("mask", F.lit(2))
     assert simhash.keep_one(clash).columns == clash.columns
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(documents):
+    one, other, third = "a first text of some words", "quite another set of terms here", "nothing in common with either one"
+    docs = documents((1, one), (1, other), (2, other), (3, third), (3, third), (4, one))
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()) == [(1, one), (1, other), (3, third)]
+
+
+def test_a_very_long_text(documents):
+    text = " ".join(f"w{k % 5003}" for k in range(200_000))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(documents((1, text), (2, text + " end"), (3, "short"))).collect()) == [1, 3]
