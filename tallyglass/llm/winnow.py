@@ -8,7 +8,8 @@ and the positions say where it stands.
 
 A text's successor (the next id) is found with one shuffle of the texts: windows over blocks of BLOCK ids, and for
 the last row of a block the first row of the next block there is. The order of blocks comes from their numbers
-alone, over two levels, so no task sees more than a small share of them.
+alone, over LEVELS levels of groups, so no task orders more than 2^20 of them, however sparse the ids are. (Where
+nearly every document is the first of its block, as with hashed ids, its text is shuffled twice.)
 
 Defined cases: null and empty texts have the empty fingerprint, and two empty fingerprints are alike (1.0); fewer
 than GRAM words form one gram; rows without an id have no successor and are edited with an empty text; rows with
@@ -32,6 +33,8 @@ WHITE = " \t\n\x0b\f\r"
 #: Ids in a block, and blocks in a group of blocks, as powers of two.
 BLOCK_BITS = 8
 GROUP_BITS = 12
+#: Levels of groups: 56 bits of block numbers less LEVELS * GROUP_BITS are ordered in one task.
+LEVELS = 3
 
 
 def chosen(docs: DataFrame, text: str, out: str) -> DataFrame:
@@ -82,19 +85,27 @@ def likeness(a: str, b: str) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
+def following_numbers(numbers: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(number, following) for distinct numbers; the last is followed by the first.
+
+    Numbers are ordered within groups of 2^GROUP_BITS, and the first numbers of the groups follow from the order
+    of the groups, found the same way. Of 56-bit block numbers at most 2^20 groups are left at the last level.
+    """
+    if not levels:
+        order = Window.orderBy("number")
+        first = F.first("number").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return numbers.withColumn("following", F.coalesce(F.lead("number").over(order), first))
+    grouped = numbers.withColumn("group", F.shiftright("number", GROUP_BITS))
+    ahead = grouped.withColumn("ahead", F.lead("number").over(Window.partitionBy("group").orderBy("number")))
+    starts = grouped.groupBy("group").agg(F.min("number").alias("start"))
+    groups = following_numbers(starts.select(F.col("group").alias("number")), levels - 1)
+    after = groups.join(starts.withColumnRenamed("group", "following"), "following").select(F.col("number").alias("group"), "start")
+    return ahead.join(after, "group").select("number", F.coalesce("ahead", "start").alias("following"))
+
+
 def next_blocks(blocks: DataFrame) -> DataFrame:
     """(block, following) for the distinct numbers of `block`; the last is followed by the first."""
-    grouped = blocks.select("block").distinct().withColumn("group", F.shiftright("block", GROUP_BITS))
-    inner = Window.partitionBy("group").orderBy("block")
-    ahead = grouped.withColumn("following", F.lead("block").over(inner))
-    # One row for each group of blocks: a millionth of the ids.
-    order = Window.orderBy("group")
-    starts = grouped.groupBy("group").agg(F.min("block").alias("start"))
-    after = starts.select(
-        "group",
-        F.coalesce(F.lead("start").over(order), F.first("start").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("later"),
-    )
-    return ahead.join(after, "group").select("block", F.coalesce("following", "later").alias("following"))
+    return following_numbers(blocks.select(F.col("block").alias("number")).distinct()).withColumnRenamed("number", "block")
 
 
 def with_successor(docs: DataFrame) -> DataFrame:

@@ -90,3 +90,18 @@ def test_small_tables_repeated_rows_and_clashing_columns(documents):
 def test_no_python_in_the_plan(documents):
     plan = winnow.fingerprints(documents((1, "a")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_hashed_ids(spark, documents):
+    rng = random.Random(2)
+    rows = [(rng.randrange(-(2**63), 2**63), f"text number {k} of some words") for k in range(300)]
+    assert sorted((tuple(r) for r in winnow.fingerprints(documents(*rows)).collect()), key=str) == plain_rows(rows)
+    numbers = sorted({i >> 8 for i, _ in rows})
+    table = spark.createDataFrame([(n,) for n in numbers], "block long")
+    got = {r["block"]: r["following"] for r in winnow.next_blocks(table).collect()}
+    assert got == dict(zip(numbers, numbers[1:] + numbers[:1]))
+
+
+def test_a_very_long_text(documents):
+    rows = [(1, " ".join(f"w{k % 997}" for k in range(100_000))), (2, "short one")]
+    assert sorted((tuple(r) for r in winnow.fingerprints(documents(*rows)).collect()), key=str) == plain_rows(rows)
