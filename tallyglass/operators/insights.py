@@ -23,7 +23,7 @@ from tallyglass.operators.stats import (
     performance_gap_insight,
     ttest_insight,
 )
-from tallyglass.plans.selection import rank_cuts
+from tallyglass.plans.cuts import rank_cuts
 from tallyglass.plans.staging import stage
 
 FIELDS = ("type", "title", "description", "narrative", "priority", "metric", "value")

@@ -12,7 +12,7 @@ from tallyglass.functions.columns import clean, label_of, pearson
 from tallyglass.operators.profile import per_column
 from tallyglass.operators.roles import numeric_columns, with_dates
 from tallyglass.plans.ordered import over_ordered
-from tallyglass.plans.selection import rank_cuts
+from tallyglass.plans.cuts import rank_cuts
 from tallyglass.sources.catalog import Catalog
 
 

@@ -7,44 +7,32 @@ still many. State is bounded by the sketch, never by the data. A value that hold
 rows ends up on a bracket edge, where its count settles the rank. Only the last few rows inside a
 bracket are ranked directly.
 
-On top of it sit exact quantiles (plain and per group) and `rank_cuts`, which turns "the first k rows
-in this order" into an ordinary filter.
+On top of it sit exact quantiles of columns; those of groups have brackets that are tables.
 """
 
 from __future__ import annotations
 
-import datetime
 import math
-from collections.abc import Callable, Hashable, Sequence
+from collections.abc import Hashable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tallyglass.functions.columns import clean
 from tallyglass.plans.ordered import running_sums
 from tallyglass.plans.staging import stage
 
-# Built-in `percentile` keeps every distinct value in one buffer; it is used up to this many values.
-SMALL_CELLS = 200_000
 # Size of a group's sketch, and how far from a wanted rank its bracket reaches, as a part of the group.
 SKETCH, MARGIN = 512, 0.015
 # Rows left inside a bracket before they are ranked directly.
 FINAL_ROWS = 100_000
-# Distinct leading order keys that are ranked directly.
-FEW_KEYS = 100_000
-# Rows tied on the leading order key before they are sorted by the remaining keys.
-TIE_ROWS = 10_000
 GRID = 200
 # Rounds of narrowing; a sound sketch needs a dozen for 10**12 rows.
 MOST_ROUNDS = 100
 ACCURACY = 2000
 # Aggregates per pass that still compile into one stage.
 FIELDS_PER_PASS = 96
-# Doubles hold integers exactly up to here; larger order keys are split in two.
-EXACT_INTEGER = 2**53
 
 _STEPS = [i / GRID for i in range(GRID + 1)]
 
@@ -221,9 +209,9 @@ def exact_quantiles(
     if not exact:
         return pick(df.agg(*[F.percentile_approx(value[c], list(probs[c]), ACCURACY).alias(c) for c in names]).first())
     counts = df.agg(*[F.count(value[c]).alias(c) for c in names]).first()
-    if sum(counts) <= SMALL_CELLS:
-        return pick(df.agg(*[F.percentile(value[c], list(probs[c])).alias(c) for c in names]).first())
     filled = [c for c in names if counts[c]]
+    if not filled:
+        return {c: [None] * len(probs[c]) for c in names}
     grids = _Columns(df, value).sketch({c: Target(counts[c], ()) for c in filled})
     places = {(c, p): _ranks(counts[c], p) for c in filled for p in probs[c]}
     targets, values = {}, {}
@@ -320,169 +308,3 @@ def most_frequent_of(df: DataFrame, names: Sequence[str]) -> dict[str, object]:
         name = names[row["seq"]]
         found[name] = row["best"][f"v{kinds.index(df.schema[name].dataType.simpleString())}"]
     return found
-
-
-@dataclass
-class _Key:
-    """A numeric order key, and how to compare the stored column with one of its values directly."""
-
-    number: Column
-    column: Column | None = None
-    restore: Callable[[float], Column] | None = None
-
-    def below(self, v: float) -> Column:
-        return self.column < self.restore(v) if self.restore else self.number < v
-
-    def at(self, v: float) -> Column:
-        return self.column == self.restore(v) if self.restore else self.number == v
-
-
-def _moment(micros: float) -> datetime.datetime:
-    return datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=int(micros))
-
-
-def _order_keys(df: DataFrame, order_by: Sequence[str]) -> tuple[int, int, list[_Key]]:
-    """Row count, distinct values of the leading key (about) and numeric keys whose lexicographic
-    order is the order of `order_by`, NULLs last."""
-    wanted = [F.count(F.lit(1)).alias("n"), F.approx_count_distinct(clean(df, order_by[0])).alias("few")]
-    for i, c in enumerate(order_by):
-        column = clean(df, c)
-        wanted.append(F.count(column).alias(f"filled_{i}"))
-        if isinstance(df.schema[c].dataType, T.LongType):
-            wanted.append(F.max(F.abs(column.cast("double"))).alias(f"span_{i}"))
-        elif isinstance(df.schema[c].dataType, T.StringType):
-            wanted.append(F.max(F.octet_length(column)).alias(f"span_{i}"))
-    stats = df.agg(*wanted).first()
-    keys: list[_Key] = []
-    for i, c in enumerate(order_by):
-        kind, column = df.schema[c].dataType, clean(df, c)
-        filled = lambda number: F.coalesce(number.cast("double"), F.lit(0.0))
-        if stats[f"filled_{i}"] < stats["n"]:
-            keys.append(_Key(column.isNull().cast("double")))
-        if isinstance(kind, T.StringType):
-            # Seven bytes fit a double exactly; the length settles strings that end in zero bytes.
-            for at in range(1, (stats[f"span_{i}"] or 0) + 1, 7):
-                piece = F.hex(F.substring(F.encode(column, "UTF-8"), at, 7))
-                keys.append(_Key(filled(F.conv(F.rpad(piece, 14, "0"), 16, 10))))
-            keys.append(_Key(filled(F.octet_length(column))))
-        elif isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
-            # Comparing the stored column lets the scan skip row groups.
-            text = kind.simpleString()
-            keys.append(
-                _Key(
-                    filled(F.unix_micros(column.cast("timestamp"))),
-                    column,
-                    lambda v, text=text: F.lit(_moment(v).isoformat(sep=" ")).cast(text),
-                )
-            )
-        elif isinstance(kind, T.DateType):
-            keys.append(_Key(filled(F.unix_date(column)), column, lambda v: F.lit(_moment(v * 86_400_000_000).date())))
-        elif isinstance(kind, T.LongType) and (stats[f"span_{i}"] or 0) > EXACT_INTEGER:
-            keys.append(_Key(filled(F.shiftright(column, 32))))
-            keys.append(_Key(filled(column.bitwiseAND(F.lit(2**32 - 1)))))
-        elif isinstance(kind, T.IntegralType):
-            keys.append(_Key(filled(column), column, lambda v: F.lit(int(v))))
-        elif isinstance(kind, (T.NumericType, T.BooleanType)):
-            keys.append(_Key(filled(column)))
-        else:
-            raise TypeError(f"cannot order rows by {c} of type {kind.simpleString()}")
-    return stats["n"], stats["few"], keys
-
-
-def rank_cuts(
-    df: DataFrame, order_by: Sequence[str], cuts: Callable[[int], Sequence[int]]
-) -> tuple[int, list[Column]]:
-    """Row count n, and for each k in `cuts(n)` a filter that is true for the first k rows in order.
-
-    The filter compares with the key of row k, found by narrowing key after key, so no row is moved.
-    `order_by` must tell the rows on both sides of a cut apart.
-    """
-    n, few, keys = _order_keys(df, order_by)
-    wanted = list(cuts(n))
-    edges: dict[int, tuple[float, ...]] = {}
-    # cut -> (values of the leading keys, rank among the rows that share them, how many share them)
-    state = {k: ((), k, n) for k in sorted(set(wanted)) if 0 < k < n}
-
-    def sharing(prefix: Sequence[float]) -> Column:
-        test = F.lit(True)
-        for key, v in zip(keys, prefix):
-            test = test & key.at(v)
-        return test
-
-    def unclear(k: int) -> ValueError:
-        return ValueError(f"order_by {list(order_by)} does not separate the rows around position {k}")
-
-    for depth in range(len(keys)):
-        if not state:
-            break
-        ties = {k: s for k, s in state.items() if s[2] <= TIE_ROWS}
-        if ties:
-            edges.update(_rank_ties(df, keys, {k: (sharing(prefix), rank) for k, (prefix, rank, _) in ties.items()}, unclear))
-        state = {k: s for k, s in state.items() if k not in ties}
-        if not state:
-            break
-        targets = {f"{k}": Target(size, (rank,)) for k, (_, rank, size) in state.items()}
-        values = {
-            f"{k}": F.when(sharing(prefix), keys[depth].number) if prefix else keys[depth].number
-            for k, (prefix, _, _) in state.items()
-        }
-        if depth == 0 and few <= FEW_KEYS:
-            _rank_few(df.select(keys[0].number.alias("x")), targets)
-        else:
-            select_ranks(_Columns(df, values), targets)
-        nxt = {}
-        for k, (prefix, rank, _) in state.items():
-            value, below, same = targets[f"{k}"].found[rank]
-            if depth == len(keys) - 1:
-                if rank != below:
-                    raise unclear(k)
-                edges[k] = (*prefix, value)
-            else:
-                nxt[k] = ((*prefix, value), rank - below, same)
-        state = nxt
-
-    def first(k: int) -> Column:
-        if k <= 0:
-            return F.lit(False)
-        if k >= n:
-            return F.lit(True)
-        test = F.lit(False)
-        for key, value in reversed(list(zip(keys, edges[k]))):
-            test = key.below(value) | (key.at(value) & test)
-        return test
-
-    return n, [first(k) for k in wanted]
-
-
-def _rank_ties(
-    df: DataFrame, keys: Sequence[_Key], ties: dict[int, tuple[Column, int]], unclear: Callable[[int], ValueError]
-) -> dict[int, tuple[float, ...]]:
-    """Full keys of the rows at the cuts, from the few rows that share the leading keys of each."""
-    names = [f"k{i}" for i in range(len(keys))]
-    tags = F.array(*[F.when(test, F.lit(k)) for k, (test, _) in ties.items()])
-    rows = df.select(F.explode(F.array_compact(tags)).alias("cut"), *[key.number.alias(a) for key, a in zip(keys, names)])
-    # At most TIE_ROWS rows per cut.
-    placed = rows.withColumn("at", F.row_number().over(Window.partitionBy("cut").orderBy(*names)) - 1)
-    wanted = F.lit(False)
-    for k, (_, rank) in ties.items():
-        wanted = wanted | ((F.col("cut") == k) & F.col("at").isin(rank - 1, rank))
-    hits = {(r["cut"], r["at"]): tuple(r[a] for a in names) for r in placed.filter(wanted).collect()}
-    for k, (_, rank) in ties.items():
-        if rank and hits[k, rank - 1] == hits[k, rank]:
-            raise unclear(k)
-    return {k: hits[k, rank] for k, (_, rank) in ties.items()}
-
-
-def _rank_few(rows: DataFrame, targets: dict[str, Target]) -> None:
-    """Ranks on a column with few distinct values: their counts are added up in order."""
-    upto = F.sum("count").over(Window.orderBy("x"))
-    counts = rows.groupBy("x").count().withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("count"))
-    ranks = {r for g in targets.values() for r in g.ranks}
-    hit = F.lit(False)
-    for r in ranks:
-        hit = hit | ((F.col("before") <= r) & (F.col("upto") > r))
-    for row in counts.filter(hit).collect():
-        for g in targets.values():
-            for r in g.ranks:
-                if row["before"] <= r < row["upto"]:
-                    g.found[r] = (row["x"], row["before"], row["count"])

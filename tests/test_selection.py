@@ -1,7 +1,6 @@
 """Exact order statistics: narrowing must agree with a full sort, whatever the shape of the data."""
 
 import datetime
-import random
 
 import numpy as np
 import pandas as pd
@@ -18,10 +17,7 @@ from tallyglass.plans import ordered
 @pytest.fixture
 def narrowing(monkeypatch):
     """Limits so low that small tables take the path of large ones."""
-    monkeypatch.setattr(sel, "SMALL_CELLS", 0)
     monkeypatch.setattr(sel, "FINAL_ROWS", 25)
-    monkeypatch.setattr(sel, "FEW_KEYS", 0)
-    monkeypatch.setattr(sel, "TIE_ROWS", 3)
     monkeypatch.setattr(sel, "GRID", 10)
     monkeypatch.setattr(sel, "ACCURACY", 50)
     monkeypatch.setattr(sel, "_STEPS", [i / 10 for i in range(11)])
@@ -61,13 +57,13 @@ def test_quantiles_skip_missing_and_empty(spark, narrowing):
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.integers(-5, 5).map(float), min_size=1, max_size=200), st.floats(0, 1))
 def test_quantiles_of_any_list(spark, values, prob):
-    limits = sel.SMALL_CELLS, sel.FINAL_ROWS
-    sel.SMALL_CELLS, sel.FINAL_ROWS = 0, 10
+    limit = sel.FINAL_ROWS
+    sel.FINAL_ROWS = 10
     try:
         df = spark.createDataFrame([(v,) for v in values], "x double")
         got = sel.exact_quantiles(df, {"x": [prob]})["x"][0]
     finally:
-        sel.SMALL_CELLS, sel.FINAL_ROWS = limits
+        sel.FINAL_ROWS = limit
     assert got == pytest.approx(np.quantile(values, prob), abs=1e-9)
 
 
@@ -82,53 +78,6 @@ def test_grouped_quantile_with_a_hot_group(spark, narrowing):
     assert got == pytest.approx(want)
 
 
-def _ordered_frame(spark, kind):
-    rng = random.Random(11)
-    days = [datetime.datetime(2024, 1, 1) + datetime.timedelta(days=rng.choice([0, 0, 0, 1, 2, 5])) for _ in range(400)]
-    if kind == "timestamp":
-        return spark.createDataFrame([(d, i) for i, d in enumerate(days)], "a timestamp_ntz, b long")
-    if kind == "date":
-        return spark.createDataFrame([(d.date(), i) for i, d in enumerate(days)], "a date, b long")
-    if kind == "text":
-        return spark.createDataFrame([(f"customer-{d.day:02d}-é{'x' * (i % 3)}", i) for i, d in enumerate(days)], "a string, b long")
-    if kind == "big":
-        return spark.createDataFrame([(2**60 + d.day, i) for i, d in enumerate(days)], "a long, b long")
-    if kind == "gaps":
-        return spark.createDataFrame([(None if i % 7 == 0 else float(d.day), i) for i, d in enumerate(days)], "a double, b long")
-    raise AssertionError(kind)
-
-
-@pytest.mark.parametrize("kind", ["timestamp", "date", "text", "big", "gaps"])
-@pytest.mark.parametrize("low_limits", [False, True])
-def test_rank_cuts_keep_exactly_the_first_rows(spark, kind, low_limits, request):
-    if low_limits:
-        request.getfixturevalue("narrowing")
-    df = _ordered_frame(spark, kind).repartition(6)
-    cuts = [0, 1, 80, 200, 399, 400, 500]
-    n, tests = sel.rank_cuts(df, ["a", "b"], lambda n: cuts)
-    assert n == 400
-    ordered_rows = [r["b"] for r in df.orderBy(F.asc_nulls_last("a"), "b").collect()]
-    for k, test in zip(cuts, tests):
-        kept = {r["b"] for r in df.filter(test).collect()}
-        assert kept == set(ordered_rows[: min(k, 400)]), k
-
-
-def test_rank_cuts_refuse_an_order_with_ties_at_the_cut(spark):
-    df = spark.createDataFrame([(1, i) for i in range(10)], "a int, b int")
-    with pytest.raises(ValueError, match="does not separate"):
-        sel.rank_cuts(df, ["a"], lambda n: [5])
-
-
-def test_rank_cuts_do_not_depend_on_the_layout(spark):
-    df = _ordered_frame(spark, "timestamp")
-    want = None
-    for parts in (1, 3, 8):
-        _, (test,) = sel.rank_cuts(df.repartition(parts), ["a", "b"], lambda n: [123])
-        kept = sorted(r["b"] for r in df.filter(test).collect())
-        assert want is None or kept == want
-        want = kept
-
-
 def test_most_frequent_takes_the_smallest_on_ties(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,), (None,), (None,)], "x string")
     assert sel.most_frequent(df, "x") == "a"
