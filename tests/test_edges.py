@@ -81,3 +81,19 @@ def test_staging_needs_no_local_folder(spark):
     folder = staging.shared_folder(spark)
     assert folder == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert not hasattr(staging, "tempfile")
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
+    """In local mode the warehouse will do; elsewhere a missing setting is an error."""
+    from types import SimpleNamespace
+
+    from tallyglass.plans.staging import shared_folder
+
+    def session(master, **settings):
+        conf = {"spark.sql.warehouse.dir": "/w/", **{k.replace("__", "."): v for k, v in settings.items()}}
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master), conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)))
+
+    assert shared_folder(session("local[4]")) == "/w/_staging"
+    assert shared_folder(session("spark://a:7077", spark__checkpoint__dir="/shared/")) == "/shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("spark://a:7077"))
