@@ -13,7 +13,8 @@ The base kinds email, ip, card and phone follow the fixed forms below, leftmost
 A match that fails its test is dropped and not tried again. The method adds web addresses (url), secrets after
 cues such as `password` (secret) and account numbers after cues such as `IBAN` (account). Words such as `number`,
 `no.` and `is` may stand between. An account number may be written in groups over single spaces or hyphens: an IBAN
-that passes its check ends where its country's length says, other numbers where the groups of digits end.
+that passes its check ends where its country's length says, other numbers where the groups of digits end. A value in
+one piece with an IBAN's form and length whose check fails is no account.
 
 Defined cases: null and empty texts hold nothing; repeated rows are reported alike; positions count code points;
 an empty table gives an empty result; further columns are ignored.
@@ -219,6 +220,12 @@ def iban_end(text: str, start: int) -> int:
     return at if int("".join(str(int(c, 36)) for c in held[4:] + held[:4])) % 97 == 1 else 0
 
 
+def iban_shaped(value: str) -> bool:
+    """Whether a value has a country's code, two check digits and that country's length, so that the check decides."""
+    country, checks = value[:2].upper(), value[2:4]
+    return int(IBAN.get(country, 0)) == len(value) and DIGITS.issuperset(checks) and ALNUM.issuperset(value)
+
+
 def grouped_end(text: str, start: int, end: int) -> int:
     """The end of a number whose first run, up to `end`, may be followed by groups of digits over single spaces."""
     first = re.split("-", text[start:end])
@@ -253,7 +260,7 @@ def cued_values(text: str, cues: list[tuple[str, int, int]]):
         while end < n and text[end] in VALUE:
             end += 1
         if kind == "account":
-            end = iban_end(text, start) or grouped_end(text, start, end)
+            end = iban_end(text, start) or (start if iban_shaped(text[start:end]) else grouped_end(text, start, end))
         if end - start >= LEAST_VALUE and not DIGITS.isdisjoint(text[start:end]):
             yield kind, start, end
         free = end

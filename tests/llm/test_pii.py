@@ -109,3 +109,15 @@ def test_values_in_groups_and_behind_words_between():
     for text in ["account 12 months", "IBAN: DE89", "account number is unknown", "password is required", "account no", "IBAN DE", "account nothing1"[:15]]:
         assert pii.find(text) == [], text
     assert pii.iban_end("DE88 3704 0044 0532 0130 00", 0) == 0
+
+
+def test_an_iban_needs_its_check_digits():
+    """In one piece, in groups, in small letters; other accounts need no check."""
+    accounts = lambda text: [text[a:b] for k, a, b in pii.find(text) if k == "account"]
+    assert accounts("IBAN: DE89370400440532013000, yes") == ["DE89370400440532013000"]
+    assert accounts("iban de89370400440532013000") == ["de89370400440532013000"]
+    assert accounts("IBAN DE89 3704 0044 0532 0130 00") == ["DE89 3704 0044 0532 0130 00"]
+    assert accounts("IBAN: DE00123456789012345678") == []
+    assert accounts("IBAN DE00 1234 5678 9012 3456 78") == []
+    assert accounts("IBAN: DE0012345678, account 12345678") == ["DE0012345678", "12345678"]
+    assert accounts("account no. X1234567") == ["X1234567"]
