@@ -7,12 +7,13 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyglass.functions.columns import plain_words
 from tallyglass.operators import narratives as N
+from tallyglass.operators.members import Members, measure_members
 from tallyglass.operators.profile import side_by_side
 from tallyglass.operators.roles import Roles, resolve_schema, with_dates
 from tallyglass.operators.series import momentum_insight, seasonality_insight, trend_cuts, trend_drivers, trend_insight
@@ -55,7 +56,7 @@ def all_insights(
 
     `metrics` narrows single analyses (trend, anomaly, distribution, gap, ttest, seasonality) to the columns
     named, and `ttest` names a category and the two groups to compare instead of each member with the rest.
-    The analysers look at the table some ten times, so its needed columns are written once first
+    The analysers look at the table several times, so its needed columns are written once first
     (`staged=False` skips that for a table that is already a plain scan).
     """
     found = roles or resolve_schema(df)
@@ -71,11 +72,17 @@ def all_insights(
     chosen = {k: numbers for k in ("trend", "anomaly", "distribution", "gap", "ttest", "seasonality")} | (metrics or {})
     trended = list(chosen["trend"])
 
+    def measured() -> tuple[list[Column], Members | None]:
+        # One search finds all positions that the trends and their drivers compare at, and one pass over the table
+        # all that drivers, gaps and tests need to know of the members of every category.
+        found_cuts = rank_cuts(data, order_by, lambda n: (*trend_cuts(0.2, n), n // 2))[1] if date else [None] * 3
+        asked = list(dict.fromkeys([*trended, *chosen["gap"], *chosen["ttest"]]))
+        return found_cuts, measure_members(data, cats, asked, found_cuts[2]) if cats and asked else None
+
     def trends() -> list[DataFrame]:
-        # One search finds all positions that the trends and their drivers compare at.
-        _, (first, body, half) = rank_cuts(data, order_by, lambda n: (*trend_cuts(0.2, n), n // 2))
+        (first, body, _), members = shared.result()
         rows = trend_insight(data, trended, order_by, min_abs=t["trend"], cuts=(first, body))
-        drivers = trend_drivers(data, trended, cats, order_by, drivers_min_abs, head=half) if cats else None
+        drivers = trend_drivers(data, trended, cats, order_by, drivers_min_abs, members=members) if members else None
         momentum = momentum_insight(data, trended, order_by, min_abs=t["momentum"])
         # Trend and momentum of a metric stand next to each other.
         return [placed(N.narrate_trend(rows, drivers), 1, 2), placed(N.narrate_other(momentum), 1, 2, 1)]
@@ -83,7 +90,7 @@ def all_insights(
     def tests() -> DataFrame:
         if ttest:
             return ttest_insight(data, ttest[0], chosen["ttest"], ttest[1], alpha=t["ttest"])
-        tested = [ttest_insight(data, c, chosen["ttest"], "rest", alpha=t["ttest"]).withColumn("seq", F.col("seq") + i * len(numbers)) for i, c in enumerate(cats)]
+        tested = [ttest_insight(data, c, chosen["ttest"], "rest", alpha=t["ttest"], members=shared.result()[1]).withColumn("seq", F.col("seq") + i * len(numbers)) for i, c in enumerate(cats)]
         return reduce(DataFrame.unionByName, tested)
 
     def placed(rows: DataFrame, group: int, step: int = 1, shift: int = 0) -> DataFrame:
@@ -98,7 +105,7 @@ def all_insights(
         analyses.append(lambda: [placed(N.narrate_anomaly(anomaly_insight(data, chosen["anomaly"], min_pct=t["anomaly"])), 3)])
         analyses.append(lambda: [placed(N.narrate_other(distribution_insight(data, chosen["distribution"], min_abs=t["distribution"])), 5)])
         if cats:
-            analyses.append(lambda: [placed(N.narrate_gap(performance_gap_insight(data, cats, chosen["gap"], min_pct=t["gap"])), 4)])
+            analyses.append(lambda: [placed(N.narrate_gap(performance_gap_insight(data, cats, chosen["gap"], min_pct=t["gap"], members=shared.result()[1])), 4)])
             analyses.append(lambda: [placed(N.narrate_other(tests()), 6)])
         if date:
             analyses.append(lambda: [placed(N.narrate_other(seasonality_insight(data, date, chosen["seasonality"], min_abs=t["seasonality"])), 7)])
@@ -106,6 +113,8 @@ def all_insights(
         raise ValueError("the table has no numeric column")
     # The analyses do not depend on each other, so their preparatory jobs may share the cluster.
     with ThreadPoolExecutor(max_workers=4) as pool:
+        # Submitted first, so those that wait for it never hold it up.
+        shared = pool.submit(inheritable_thread_target(df.sparkSession)(measured)) if numbers else None
         waiting = [pool.submit(inheritable_thread_target(df.sparkSession)(a)) for a in analyses]
         parts = [rows for w in waiting for rows in w.result()]
     # One row per metric, pair or category at most, so a single sorted window numbers them.

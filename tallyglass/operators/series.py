@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyglass.functions.columns import clean, label_of, pearson
+from tallyglass.operators.members import Members
 from tallyglass.operators.profile import per_column
 from tallyglass.operators.roles import numeric_columns, with_dates
 from tallyglass.plans.ordered import over_ordered
@@ -245,19 +246,23 @@ def half_changes(
     categories: Sequence[str],
     order_by: Sequence[str],
     head: Column | None = None,
+    members: Members | None = None,
 ) -> DataFrame:
     """Per metric, category column and member: change of the mean from the earlier to the later half."""
-    if head is None:
+    if head is None and members is None:
         _, (head,) = rank_cuts(df, order_by, lambda rows: (rows // 2,))
     parts = []
     for i, category in enumerate(categories):
-        folds = []
-        for j, m in enumerate(metrics):
-            folds += [
-                F.avg(F.when(head, clean(df, m))).alias(f"a{j}"),
-                F.avg(F.when(~head, clean(df, m))).alias(f"b{j}"),
-            ]
-        groups = df.filter(F.col(f"`{category}`").isNotNull()).groupBy(F.col(f"`{category}`").cast("string").alias("member")).agg(*folds)
+        if members:
+            groups = members.of(category, metrics)
+        else:
+            folds = []
+            for j, m in enumerate(metrics):
+                folds += [
+                    F.avg(F.when(head, clean(df, m))).alias(f"a{j}"),
+                    F.avg(F.when(~head, clean(df, m))).alias(f"b{j}"),
+                ]
+            groups = df.filter(F.col(f"`{category}`").isNotNull()).groupBy(F.col(f"`{category}`").cast("string").alias("member")).agg(*folds)
         rows = [
             F.struct(
                 F.lit(m).alias("metric"),
@@ -317,9 +322,10 @@ def trend_drivers(
     min_abs: float = 15.0,
     max_categories: int | None = None,
     head: Column | None = None,
+    members: Members | None = None,
 ) -> DataFrame:
     """The drivers of several metrics at once, as text for a rise and for a fall of each metric."""
-    changes = half_changes(df, metrics, list(categories)[:max_categories], order_by, head)
+    changes = half_changes(df, metrics, list(categories)[:max_categories], order_by, head, members)
 
     def listed(side: str) -> Column:
         change = F.col(f"{side}.change_pct")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions.columns import clean, pearson, sample_kurtosis, sample_skewness, t_two_sided_p
+from tallyglass.operators.members import Members
 from tallyglass.operators.profile import outlier_tests, per_column
 from tallyglass.operators.roles import categorical_columns, numeric_columns
 from tallyglass.operators.series import _default_metrics, _labels
@@ -264,14 +265,15 @@ def performance_gap_insight(
     high_pct: float = 50.0,
     max_categories: int | None = None,
     max_metrics: int | None = None,
+    members: Members | None = None,
 ) -> DataFrame:
     """Categories whose best and worst members lie far apart in mean. One aggregate per category
-    covers all metrics."""
+    covers all metrics; none is needed where `members` were measured before."""
     cats = list(categories) if categories is not None else categorical_columns(df)[:max_categories]
     names = _default_metrics(df, metrics, max_metrics)
     parts = []
     for i, category in enumerate(cats):
-        groups = (
+        groups = members.of(category, names) if members else (
             df.filter(F.col(f"`{category}`").isNotNull())
             .groupBy(F.col(f"`{category}`").cast("string").alias("member"))
             .agg(*[F.avg(clean(df, m)).alias(f"m{j}") for j, m in enumerate(names)])
@@ -368,18 +370,20 @@ def ttest_measures(
     )
 
 
-def ttest_against_rest(df: DataFrame, category: str, metrics: Sequence[str], min_n: int = 30) -> DataFrame:
+def ttest_against_rest(
+    df: DataFrame, category: str, metrics: Sequence[str], min_n: int = 30, members: Members | None = None
+) -> DataFrame:
     """Pooled t-test of every member of a category against all other rows, for each metric.
 
-    One grouped aggregate keeps count, sum and sum of squared deviations of each member; those of the rest
-    follow from the totals over the members. Rows without a member are left out.
+    One grouped aggregate keeps count, sum and sum of squared deviations of each member, unless `members` were
+    measured before; those of the rest follow from the totals over the members. Rows without a member are left out.
     """
     member = F.col(f"`{category}`")
     values = [clean(df, m).cast("double") for m in metrics]
     cells = []
     for j, v in enumerate(values):
         cells += [F.count(v).alias(f"n{j}"), F.avg(v).alias(f"m{j}"), F.var_pop(v).alias(f"v{j}")]
-    groups = (
+    groups = members.of(category, metrics) if members else (
         df.filter(member.isNotNull()).groupBy(member.cast("string").alias("member")).agg(F.count(F.lit(1)).alias("rows"), *cells)
     )
     rows = F.array(
@@ -436,6 +440,7 @@ def ttest_insight(
     alpha: float = 0.05,
     high_alpha: float = 0.01,
     max_metrics: int | None = None,
+    members: Members | None = None,
 ) -> DataFrame:
     """Metrics whose means differ between groups of a category beyond chance.
 
@@ -447,7 +452,7 @@ def ttest_insight(
     parts = []
     for i, name in enumerate(cats):
         if groups == "rest" or groups is None and category is None:
-            part = ttest_against_rest(df, name, names, min_n)
+            part = ttest_against_rest(df, name, names, min_n, members)
         else:
             part = ttest_measures(df, name, names, None if groups == "first two" else groups, min_n)
         parts.append(part.withColumn("seq", F.col("seq") + i * len(names)))

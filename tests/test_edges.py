@@ -97,3 +97,21 @@ def test_staging_needs_a_shared_folder_on_a_cluster():
     assert shared_folder(session("spark://a:7077", spark__checkpoint__dir="/shared/")) == "/shared"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(session("spark://a:7077"))
+
+
+def test_members_are_measured_once_for_all_analyses(spark):
+    """The shared pass gives what each analysis finds alone; the table itself is read once for all categories."""
+    from tallyglass.operators.members import measure_members
+    from tallyglass.plans.cuts import rank_cuts
+
+    rows = [(i, f"r{i % 3}" if i % 11 else None, i % 4, float(i % 17) if i % 5 else None, (i * i) % 23 + (i % 3) * 9) for i in range(700)]
+    df = spark.createDataFrame(rows, "id int, region string, kind int, x double, y int").repartition(5)
+    cats, metrics = ["region", "kind"], ["y", "x"]
+    _, (half,) = rank_cuts(df, ["id"], lambda n: [n // 2])
+    members = measure_members(df, cats, ["x", "y"], half)
+    assert members.table.count() == 7
+    near = lambda frame: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in frame.collect())
+    assert near(A.performance_gap_insight(df, cats, metrics, 0.0, members=members)) == near(A.performance_gap_insight(df, cats, metrics, 0.0))
+    assert near(S.half_changes(df, metrics, cats, ["id"], members=members)) == near(S.half_changes(df, metrics, cats, ["id"], half))
+    for c in cats:
+        assert near(A.ttest_against_rest(df, c, metrics, members=members).fillna(-1.0)) == near(A.ttest_against_rest(df, c, metrics).fillna(-1.0))
