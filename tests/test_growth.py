@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tallyglass.operators import profile as P
+from tallyglass.plans import cuts, selection
 from workload import queries as W
 from workload import queries_stats  # noqa: F401  (registers its queries on import)
 from workload import views as V
@@ -43,3 +44,18 @@ def test_lines_are_joined_twice(spark, data):
     lines = [s for s in V.sales(spark, data)._jdf.queryExecution().analyzed().toString().splitlines() if "Join" in s or "l_extendedprice" in s]
     above = lines[: next(i for i, s in enumerate(lines) if "Relation" in s)]
     assert sum("Join" in s for s in above) == 2
+
+
+def test_quantiles_where_sketches_are_coarse(spark, monkeypatch):
+    monkeypatch.setattr(selection, "GRID_SKETCH", 8)
+    monkeypatch.setattr(selection, "FINAL_ROWS", 50)
+    df = spark.range(5001).select(((F.col("id") * 7919) % 5001).cast("double").alias("x"))
+    assert selection.exact_quantiles(df, {"x": [0.25, 0.5, 0.75]}) == {"x": [1250.0, 2500.0, 3750.0]}
+
+
+def test_places_of_rows_between_pivots(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (1, None), (2, "a"), (None, "a"), (None, None)], "k int, s string")
+    kinds, keys = [f.dataType for f in df.schema], [F.col("k"), F.col("s")]
+    key = cuts._struct(keys, [c.isNull() for c in keys])
+    cut = cuts._Cut(3, 6, 6, pivots=((F.lit(1), F.lit("b")), (None, F.lit("a"))), hi=(None, None))
+    assert [r[0] for r in df.select(cuts._place(F.col("k"), key, cut, kinds)).collect()] == [0, 1, 2, 2, 3, -1]
