@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyglass.operators import profile as P
@@ -46,6 +47,14 @@ def test_lines_are_joined_twice(spark, data):
     assert sum("Join" in s for s in above) == 2
 
 
+@pytest.mark.parametrize("name", ["summary_facts", "recommendations"])
+def test_reports_join_their_tables_once(spark, data, monkeypatch, name):
+    joined, whole = [], V.stored_sales
+    monkeypatch.setattr(V, "stored_sales", lambda *a: joined.append(1) or whole(*a))
+    W.QUERIES[name](spark, data)
+    assert len(joined) == 1
+
+
 def test_quantiles_where_sketches_are_coarse(spark, monkeypatch):
     monkeypatch.setattr(selection, "GRID_SKETCH", 8)
     monkeypatch.setattr(selection, "FINAL_ROWS", 50)
